@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -60,30 +61,30 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-def anchors(data: bytes):
+def anchors(data: bytes, size: int = SIZE, gram: int = GRAM):
     """(place of the anchor, first and last window that chose it, gram hash, two halves of the fingerprint)."""
     n = len(data)
-    if n < SIZE:
+    if n < size:
         return None
     b = np.frombuffer(data, dtype=np.uint8)
     p1, p2, i1, i2 = _powers(n + 1)
     s1, s2 = np.zeros(n + 1, dtype=U), np.zeros(n + 1, dtype=U)
     np.cumsum(_BYTES[0][b] * p1[:n], out=s1[1:])
     np.cumsum(_BYTES[1][b] * p2[:n], out=s2[1:])
-    g = _mixed((s1[GRAM:] - s1[:-GRAM]) * i1[: n - GRAM + 1])
+    g = _mixed((s1[gram:] - s1[:-gram]) * i1[: n - gram + 1])
     key = (g & U(0xFFFFFFFF00000000)) | np.arange(len(g), dtype=U)
-    w = SIZE - GRAM + 1  # least of each w keys in a row, by blocks
+    w = size - gram + 1  # least of each w keys in a row, by blocks
     m = -(-len(key) // w) * w
     blocks = np.full(m, 0xFFFFFFFFFFFFFFFF, dtype=U)
     blocks[: len(key)] = key
     blocks = blocks.reshape(-1, w)
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    count = n - SIZE + 1
+    count = n - size + 1
     at = (np.minimum(behind[:count], ahead[w - 1 : w - 1 + count]) & U(0xFFFFFFFF)).astype(np.int64)
     lo = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
     hi = np.concatenate([lo[1:] - 1, [count - 1]])
-    a, end = at[lo], hi + SIZE
+    a, end = at[lo], hi + size
     shape = (a - lo).astype(U) << U(32) | (hi - lo).astype(U)
     return a, lo, hi, g[a], _mixed((s1[end] - s1[lo]) * i1[lo] ^ _mixed(shape)), _mixed((s2[end] - s2[lo]) * i2[lo] + shape)
 
@@ -110,12 +111,12 @@ def _rows(kind, ids, h, a, lo, hi, settled, g=None, c1=None, c2=None) -> pa.Reco
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, k) for c, k in zip(cols, _KINDS, strict=True)], [x.split()[0] for x in ROW.split(", ")])
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], size: int, gram: int) -> Iterator[pa.RecordBatch]:
     """Step 1. In: doc_id, h, text."""
     for b in batches:
         got, doc = [], []
         for i, t in enumerate(b.column(2)):
-            x = anchors(t.as_py().encode())
+            x = anchors(t.as_py().encode(), size, gram)
             if x is not None:
                 got.append(x)
                 doc.append(np.full(len(x[0]), i, dtype=np.int64))
@@ -126,18 +127,18 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = b.column(1).to_numpy()
         o = np.lexsort((c2, c1))
         new = np.concatenate([[True], (c1[o][1:] != c1[o][:-1]) | (c2[o][1:] != c2[o][:-1])])
-        size = np.diff(np.concatenate([np.flatnonzero(new), [len(o)]]))
-        twice = np.repeat(size > 1, size)
+        many = np.diff(np.concatenate([np.flatnonzero(new), [len(o)]]))
+        twice = np.repeat(many > 1, many)
         keep = o[new]
-        yield _rows(1, b.column(0).take(pa.array(doc[keep])), h[doc[keep]], a[keep], lo[keep], hi[keep], size > 1, g[keep], c1[keep], c2[keep])
+        yield _rows(1, b.column(0).take(pa.array(doc[keep])), h[doc[keep]], a[keep], lo[keep], hi[keep], many > 1, g[keep], c1[keep], c2[keep])
         s = np.sort(o[twice])  # settled here; one interval for each run of neighbours
         base = (doc[s].astype(np.int64)) << 40
-        x, y = united(base + lo[s], base + hi[s] + SIZE)
+        x, y = united(base + lo[s], base + hi[s] + size)
         d = x >> 40
         yield _rows(0, b.column(0).take(pa.array(d)), h[d], x & ((1 << 40) - 1), x & ((1 << 40) - 1), y - (d << 40), np.ones(len(d), dtype=bool))
 
 
-def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _match(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Step 2. In: ROW, all of a gram hash together, sorted by g, c1, c2."""
     t = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
     if t is None or not t.num_rows:
@@ -156,7 +157,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     # rows that were settled in their batch have their interval already
     take = lambda n, i: c[n].take(pa.array(i))
     lo, hi = c["lo"].to_numpy(), c["hi"].to_numpy()
-    yield _rows(0, take("doc_id", settled), c["h"].to_numpy()[settled], lo[settled], lo[settled], hi[settled] + SIZE, np.ones(len(settled), dtype=bool))
+    yield _rows(0, take("doc_id", settled), c["h"].to_numpy()[settled], lo[settled], lo[settled], hi[settled] + size, np.ones(len(settled), dtype=bool))
     any_done = np.logical_or.reduceat(done | copied, first)
     opened = first[several[first]]
     yield _rows(1, take("doc_id", opened), c["h"].to_numpy()[opened], c["a"].to_numpy()[opened], lo[opened], hi[opened], any_done[several[first]])
@@ -165,7 +166,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SPAN = "doc_id long, h long, lo long, off int, n int, settled boolean, gram binary, span binary"
 
 
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _spans(batches: Iterator[pa.RecordBatch], size: int, gram: int) -> Iterator[pa.RecordBatch]:
     """Step 3. In: doc_id, h, text, entries (kind, a, lo, hi, settled)."""
     for b in batches:
         rows = []
@@ -173,7 +174,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             opened = [e for e in entries if e["kind"] == 1]
             if opened:
                 data = t.as_py().encode()
-                rows += [(i, e["lo"], e["a"] - e["lo"], e["hi"] - e["lo"] + 1, e["settled"], data[e["a"] : e["a"] + GRAM], data[e["lo"] : e["hi"] + SIZE]) for e in opened]
+                rows += [(i, e["lo"], e["a"] - e["lo"], e["hi"] - e["lo"] + 1, e["settled"], data[e["a"] : e["a"] + gram], data[e["lo"] : e["hi"] + size]) for e in opened]
         x = list(zip(*rows, strict=True)) or [[]] * 7
         take = pa.array(x[0], pa.int64())
         yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(x[1], pa.int64()), pa.array(x[2], pa.int32()), pa.array(x[3], pa.int32()), pa.array(x[4], pa.bool_()), pa.array(x[5], pa.binary()), pa.array(x[6], pa.binary())], [y.split()[0] for y in SPAN.split(", ")])
@@ -213,7 +214,7 @@ def _found(ids, h, lo, hi) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, dtype=np.int32)), ids, pa.array(h), pa.array(lo), pa.array(hi), pa.array(np.zeros(n, dtype=np.int32)), pa.nulls(n, pa.binary())], [x.split()[0] for x in OUT.split(", ")])
 
 
-def _sorter(parts: int):
+def _sorter(parts: int, size: int):
     """Steps 3 and 4. In: SPAN and hot, sorted by gram."""
 
     def chunk(t: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -231,13 +232,13 @@ def _sorter(parts: int):
         first = grams[row] << 20 | off
         o = np.argsort(first, kind="stable")
         agreed = np.full(len(row), -1, dtype=np.int64)
-        agreed[o] = multikey(words, start[row[o]] + s[o], first[o])
+        agreed[o] = multikey(words, start[row[o]] + s[o], first[o], size // 8)
         hit = agreed >= 0
         settled = c["settled"].to_numpy(zero_copy_only=False)
         lo, h = c["lo"].to_numpy(), c["h"].to_numpy()
         got = np.flatnonzero(hit & ~settled[row])
         base = row[got].astype(np.int64) << 40
-        x, y = united(base + lo[row[got]] + s[got], base + lo[row[got]] + s[got] + SIZE)
+        x, y = united(base + lo[row[got]] + s[got], base + lo[row[got]] + s[got] + size)
         r = x >> 40
         yield _found(c["doc_id"].take(pa.array(r)), h[r], x & ((1 << 40) - 1), y - (r << 40))
         hot = c["hot"].to_numpy(zero_copy_only=False)
@@ -251,7 +252,7 @@ def _sorter(parts: int):
             notes = np.zeros(len(mine), dtype=_NOTE)
             for j, i in enumerate(mine.tolist()):
                 p = int(start[row[i]] + s[i])
-                notes["d"][j], notes["e"][j] = np.frombuffer(hashlib.blake2b(data[p : p + SIZE], digest_size=16).digest(), dtype="<u8")
+                notes["d"][j], notes["e"][j] = np.frombuffer(hashlib.blake2b(data[p : p + size], digest_size=16).digest(), dtype="<u8")
             notes["row"], notes["s"], notes["open"] = row[mine], lo[row[mine]] + s[mine], ~(hit[mine] | settled[row[mine]])
             part = (notes["d"] % U(parts)).astype(np.int64)
             o = np.argsort(part, kind="stable")
@@ -288,7 +289,7 @@ def _sorter(parts: int):
     return run
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Step 4. In: part, blob; all of a part together."""
     owners, notes, at = [], [], 0
     for b in batches:
@@ -308,10 +309,10 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = np.diff(np.concatenate([np.flatnonzero(new), [len(v)]]))
     v = v[np.repeat(size > 1, size) & v["open"]]
     o = own[v["row"]]
-    yield _found(pa.array(o[:, 1], pa.int64(), mask=o[:, 0] == 0), np.ascontiguousarray(o[:, 2]), v["s"].astype(np.int64), v["s"].astype(np.int64) + SIZE)
+    yield _found(pa.array(o[:, 1], pa.int64(), mask=o[:, 0] == 0), np.ascontiguousarray(o[:, 2]), v["s"].astype(np.int64), v["s"].astype(np.int64) + length)
 
 
-RESULT = "doc_id long, h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+RESULT = "doc_id long, h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
 
 def _cut(keep_bytes: bool):
@@ -327,32 +328,34 @@ def _cut(keep_bytes: bool):
                     rest.append(data[at:x])
                     at = y
                 rest = b"".join([*rest, data[at:]])
-                rows.append((len(data), len(data) - len(rest), len(lo), hashlib.sha256(rest).hexdigest(), rest if keep_bytes else None))
+                rows.append((len(data), len(data) - len(rest), len(lo), hashlib.sha256(rest).hexdigest(), rest.decode(errors="ignore") if keep_bytes else None))
             x = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x[i], pa.int64()) for i in range(3)), pa.array(x[3], pa.string()), pa.array(x[4], pa.binary())], [y.split()[0] for y in RESULT.split(", ")])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x[i], pa.int64()) for i in range(3)), pa.array(x[3], pa.string()), pa.array(x[4], pa.string())], [y.split()[0] for y in RESULT.split(", ")])
 
     return run
 
 
-def deduplicated(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
-    """docs: doc_id, text. RESULT for the documents that share a gram with another place; one row for each
+def deduplicated(docs: DataFrame, keep_bytes: bool = False, size: int = SIZE, gram: int = GRAM) -> DataFrame:
+    """docs: doc_id, text. size: bytes of a repeated string, a multiple of 8; gram: of an anchor's string. RESULT for the documents that share a gram with another place; one row for each
     doc_id and text (h: xxhash64 of the text). Other documents lose nothing."""
+    if size % 8 or not 0 < gram <= size // 2:
+        raise ValueError("size must be a multiple of 8, and gram at most its half")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("h"), text_of().alias("text"))
-    scan = stored(base.mapInArrow(_scan, ROW), "anchors")
+    scan = stored(base.mapInArrow(partial(_scan, size=size, gram=gram), ROW), "anchors")
     grams = scan.filter("kind = 1").repartition(parts, "g").sortWithinPartitions("g", "c1", "c2")
-    matched = stored(grams.mapInArrow(_match, ROW), "matched")
+    matched = stored(grams.mapInArrow(partial(_match, size=size), ROW), "matched")
     entry = F.struct("kind", "a", "lo", "hi", "settled")
     per = scan.filter("kind = 0").unionAll(matched).groupBy("doc_id", "h").agg(F.collect_list(entry).alias("entries")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "entries")
     same = F.col("h").eqNullSafe(F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id"))
     held = stored(base.join(per.hint("shuffle_merge"), same).select("doc_id", "h", "text", "entries"), "held")
-    spans = stored(held.mapInArrow(_spans, SPAN), "spans")
+    spans = stored(held.mapInArrow(partial(_spans, size=size, gram=gram), SPAN), "spans")
     counts = spans.groupBy(F.xxhash64("gram").alias("_g")).agg(F.count("*").alias("c")).filter(F.col("c") > HOT)
     spans = spans.join(counts, F.xxhash64("gram") == F.col("_g"), "left").withColumn("salt", F.when(F.col("c").isNotNull(), F.pmod(F.xxhash64("doc_id", "lo"), F.ceil(F.col("c") / HOT)))).withColumn("hot", F.col("c").isNotNull())
     ordered = spans.repartitionByRange(parts, "gram", "salt").sortWithinPartitions("gram", "salt").select(*[x.split()[0] for x in SPAN.split(", ")], "hot")
-    found = stored(ordered.mapInArrow(_sorter(parts), OUT), "found")
-    across = found.filter("kind = 2").select("part", "blob").repartition(parts, "part").mapInArrow(_compare, OUT)
+    found = stored(ordered.mapInArrow(_sorter(parts, size), OUT), "found")
+    across = found.filter("kind = 2").select("part", "blob").repartition(parts, "part").mapInArrow(partial(_compare, length=size), OUT)
     more = found.filter("kind = 0").unionAll(across).groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("more")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "more")
     whole = held.join(more.hint("shuffle_merge"), same, "left").select("doc_id", "h", "text", "entries", "more")
     return whole.mapInArrow(_cut(keep_bytes), RESULT)
@@ -367,13 +370,13 @@ def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
 
 
-def filter_repeats(docs: DataFrame) -> DataFrame:
+def filter_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """docs with repeated passages cut from text, n_chars made to fit; what is left of a cut character's bytes
     goes. All other columns stay."""
-    cut = deduplicated(docs, keep_bytes=True).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.decode(F.col("kept"), F.lit("UTF-8")).alias("_kept")).dropDuplicates(["_id", "_h"])
+    cut = deduplicated(docs, True, size, gram).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("kept").alias("_kept")).dropDuplicates(["_id", "_h"])
     on = F.xxhash64(text_of()).eqNullSafe(F.col("_h")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
     out = docs.join(cut, on, "left")
-    text = F.when(F.col("_id").isNotNull() | F.col("_h").isNotNull(), F.regexp_replace(F.col("_kept"), "�", "")).otherwise(F.col("text"))
+    text = F.when(F.col("_id").isNotNull() | F.col("_h").isNotNull(), F.col("_kept")).otherwise(F.col("text"))
     changed = {"text": text} | ({"n_chars": F.char_length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return out.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
 

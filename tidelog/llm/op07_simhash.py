@@ -175,6 +175,149 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return fps.join(ids, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
+# Texts whose sets of shingles are alike. At a similarity of 0.8, 64-bit fingerprints differ in 10 bits or so, where
+# bytes have little in common: fingerprints are wider, lists are those of min-wise keys, and links are verified.
+
+SHINGLE, ALIKE, FAR, WIDE, SKETCH, BANDS, ROWS = 5, 0.8, 80, 4, 256, 14, 4
+_SEEDS = np.random.default_rng(77).integers(0, 1 << 63, size=(2, BANDS * ROWS), dtype=np.uint64) * U(2) + U(1)
+_MIX = np.random.default_rng(78).integers(0, 1 << 63, size=WIDE, dtype=np.uint64)
+MOST_EXACT = 6000
+
+
+def _scramble(x):
+    x = (x ^ (x >> U(33))) * U(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> U(33))) * U(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> U(33))
+
+
+def shingle_set(text: str, width: int = SHINGLE) -> np.ndarray:
+    """Sorted hashes of the distinct shingles; of all words where there are fewer; none without words."""
+    words = text.encode().lower().split()
+    if not words:
+        return np.zeros(0, dtype=U)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[i : i + width]), 42) for i in range(max(1, len(words) - width + 1))], dtype=U))
+
+
+def summary(h: np.ndarray) -> tuple[bytes, list[int], bytes]:
+    """(fingerprint, band keys, the least hashes) of a shingle set."""
+    ones, least = np.zeros((WIDE, 64), dtype=np.int64), np.full(BANDS * ROWS, 0xFFFFFFFFFFFFFFFF, dtype=U)
+    for i in range(0, len(h), 4096):
+        x = h[i : i + 4096]
+        for k in range(WIDE):
+            ones[k] += np.unpackbits(_scramble(x ^ _MIX[k]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        y = x[:, None] * _SEEDS[0] + _SEEDS[1]
+        least = np.minimum(least, (y ^ (y >> U(29))).min(axis=0))
+    keys = np.zeros(BANDS, dtype=U)
+    for r in range(ROWS):
+        keys = _scramble(keys ^ least[r::ROWS])
+    return np.packbits((2 * ones > len(h)).astype(np.uint8), axis=1, bitorder="little").tobytes(), keys.view(np.int64).tolist(), h[:SKETCH].tobytes()
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sketches: exact for sets of at most SKETCH shingles, else of the SKETCH least ones of the union."""
+    u = np.union1d(a, b)
+    if len(a) >= SKETCH or len(b) >= SKETCH:
+        u = u[:SKETCH]
+    return len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), u, assume_unique=True)) / max(1, len(u))
+
+
+def spanning(fps: np.ndarray) -> list[tuple[int, int]]:
+    """fps: (n, WIDE). A least spanning forest by differing bits, without edges of over FAR bits: the path in it
+    between two fingerprints has no step longer than their distance. Longer lists go to the nearest of leaders."""
+    n, out = len(fps), []
+    if n <= MOST_EXACT:
+        left = np.arange(1, n)
+        best, frm, at = np.full(n - 1, 999), np.zeros(n - 1, dtype=np.int64), 0
+        while len(left):
+            d = np.bitwise_count(fps[left] ^ fps[at]).sum(axis=1, dtype=np.int64)
+            nearer = d < best
+            best[nearer], frm[nearer] = d[nearer], at
+            j = int(best.argmin())
+            at = int(left[j])
+            if best[j] <= FAR:
+                out.append((int(frm[j]), at))
+            keep = np.arange(len(left)) != j
+            left, best, frm = left[keep], best[keep], frm[keep]
+        return out
+    for a, b in ((a, min(a + MOST_EXACT // 2, n)) for a in range(0, n, MOST_EXACT // 2)):
+        out += [(a + i, a + j) for i, j in spanning(fps[a:b])]
+    heads = np.unique(np.linspace(0, n - 1, MOST_EXACT // 2).astype(np.int64))
+    for i in range(n):
+        d = np.bitwise_count(fps[heads] ^ fps[i]).sum(axis=1, dtype=np.int64)
+        for j in np.argsort(d, kind="stable")[:2]:
+            if heads[j] != i and d[j] <= FAR:
+                out.append((int(heads[j]), i))
+    return out
+
+
+def filter_near(docs: DataFrame) -> DataFrame:
+    """One document of each group of near-duplicates: that with the least doc_id (a null is larger than all;
+    then any). Groups are components of pairs whose sets of five-word shingles have a similarity of 0.8 or more.
+    All columns stay. Documents without words are copies of each other."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 40
+        for b in batches:
+            sets = [shingle_set(t.as_py()) for t in b.column(1)]
+            got = [summary(h) for h in sets]
+            both = [xxhash.xxh3_128_intdigest(h.tobytes()) for h in sets]
+            half = lambda k: pa.array(np.array([x >> k & 0xFFFFFFFFFFFFFFFF for x in both], dtype=U).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(row + np.arange(len(got))), half(0), half(64), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.binary())], ["doc", "row", "s1", "s2", "fp", "keys", "sketch"])
+            row += len(got)
+
+    whole = docs.select(F.struct("*").alias("doc"), text_of().alias("text"))
+    kind = whole.schema["doc"].dataType.simpleString()
+    made = stored(whole.mapInArrow(run, f"doc {kind}, row long, s1 long, s2 long, fp binary, keys array<long>, sketch binary"), "near")
+    rank = F.struct(F.col("doc.doc_id").isNull().alias("null_id"), F.col("doc.doc_id").alias("id"), F.col("row").alias("row"))
+    # copies: one row of each set goes on
+    sets = made.select("s1", "s2", rank.alias("k")).groupBy("s1", "s2").agg(F.min("k").alias("k"))
+    copies = made.select("s1", "s2", "row").join(sets.select("s1", "s2", F.col("k.row").alias("rep")), ["s1", "s2"]).filter("row <> rep").select("row")
+    first = sets.select(F.col("k.row").alias("row"), "k")
+    reps = stored(made.select("row", "fp", "keys", "sketch").join(first, "row"), "sets")
+    rows = reps.select(F.posexplode("keys").alias("band", "key"), "row", "fp").filter(F.length("fp") > 0)
+
+    def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(ids, fps):
+            if len(ids) < 2:
+                return []
+            return [(ids[i], ids[j]) for i, j in spanning(np.frombuffer(b"".join(fps), dtype="<u8").reshape(-1, WIDE))]
+
+        last, ids, fps = None, [], []
+        for b in batches:
+            out = []
+            for band, key, row, fp in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (band, key) != last:
+                    out += done(ids, fps)
+                    last, ids, fps = (band, key), [], []
+                ids.append(row)
+                fps.append(fp)
+            if out:
+                yield _edges(out)
+        if out := done(ids, fps):
+            yield _edges(out)
+
+    near = rows.repartition(parts, "band", "key").sortWithinPartitions("band", "key").mapInArrow(forests, "u long, v long")
+    near = near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [jaccard(np.frombuffer(x.as_buffer(), dtype=U), np.frombuffer(y.as_buffer(), dtype=U)) >= ALIKE for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    sk = reps.select(F.col("row").alias("_r"), "sketch")
+    pairs = near.join(sk.withColumnsRenamed({"_r": "u", "sketch": "a"}), "u").join(sk.withColumnsRenamed({"_r": "v", "sketch": "b"}), "v").select("u", "v", "a", "b")
+    roots = stored(components(pairs.mapInArrow(verify, "u long, v long")), "roots")
+    # a component's root is its least row; the one that stays has the least doc_id
+    group = roots.select("node", "root").unionAll(roots.select(F.col("root").alias("node"), "root").distinct()).join(first, F.col("node") == F.col("row"))
+    stays = group.groupBy("root").agg(F.min("k").alias("best"))
+    gone = group.join(stays, "root").filter(F.col("row") != F.col("best.row")).select("row")
+    return made.join(copies.unionAll(gone), "row", "left_anti").select("doc.*")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
