@@ -99,8 +99,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     marks = base.agg(F.percentile_approx(key, [(i + 1) / n for i in range(n - 1)] or [0.5], 10000)).first()[0] or []
     marks = np.array(sorted(set(marks), reverse=True)[: max(n - 1, 0)], dtype=np.int64)
 
-    def bucket(ids: np.ndarray) -> np.ndarray:  # descending ids have ascending buckets
-        return np.searchsorted(-marks, -ids, "right") if len(marks) else np.zeros(len(ids), dtype=np.int64)
+    def bucket(ids: np.ndarray) -> np.ndarray:  # descending ids have ascending buckets; ~ turns the order round, and never overflows
+        return np.searchsorted(~marks, ~ids, "right") if len(marks) else np.zeros(len(ids), dtype=np.int64)
 
     def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, int] = {}
