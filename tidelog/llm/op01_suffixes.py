@@ -371,14 +371,14 @@ def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filter_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """docs with repeated passages cut from text, n_chars made to fit; what is left of a cut character's bytes
-    goes. All other columns stay."""
+    """docs with repeated passages cut from text, n_chars of cut texts made to fit; what is left of a cut
+    character's bytes goes. All other columns stay."""
     cut = deduplicated(docs, True, size, gram).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("kept").alias("_kept")).dropDuplicates(["_id", "_h"])
-    on = F.xxhash64(text_of()).eqNullSafe(F.col("_h")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-    out = docs.join(cut, on, "left")
-    text = F.when(F.col("_id").isNotNull() | F.col("_h").isNotNull(), F.col("_kept")).otherwise(F.col("text"))
-    changed = {"text": text} | ({"n_chars": F.char_length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return out.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+    whole = docs.select(F.struct("*").alias("doc"))
+    on = F.xxhash64(text_of("doc.text")).eqNullSafe(F.col("_h")) & F.col("doc.doc_id").cast("long").eqNullSafe(F.col("_id"))
+    text = F.when(F.col("_h").isNotNull(), F.col("_kept")).otherwise(F.col("doc.text"))
+    changed = {"text": text} | ({"n_chars": F.when(F.col("_h").isNotNull(), F.char_length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))} if "n_chars" in docs.columns else {})
+    return whole.join(cut, on, "left").select(*[changed.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
 QUERIES, ORACLE = {"op1_suffixes": op1_suffixes}, {}
