@@ -29,12 +29,13 @@ def test_odd_rows(spark, tmp_path):
     assert any(r[2] for r in check(run(spark, d), docs))
 
 
-@pytest.mark.parametrize("hot", [3, 10])
-def test_hot_passages(spark, tmp_path, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "look"), [(3, 1), (10, 2), (7, 64)])
+def test_hot_passages(spark, tmp_path, monkeypatch, hot, look):
     """A passage in many documents with other neighbours each time: its grams' runs go to several buckets."""
     import random
 
-    monkeypatch.setattr(op, "HOT", hot)
+    for k, v in (("HOT", hot), ("HOT_ROWS", 4), ("LOOK", look), ("MATCH_CHUNK", 5), ("CHUNK", 5)):
+        monkeypatch.setattr(op, k, v)
     rng = random.Random(1)
     p, q = prose(rng, 150, 9999), prose(rng, 90, 9999)
     docs = [(i, " ".join([prose(rng, 3, 9999), *([p] if i % 3 else []), prose(rng, 5, 9999), q[i % 7 :], prose(rng, 4, 9999)])) for i in range(60)]
@@ -68,4 +69,4 @@ def test_filter_keeps_columns(spark):
 
 def test_bad_sizes(spark):
     with pytest.raises(ValueError):
-        op.deduplicated(spark.createDataFrame([], DOCS), size=401)
+        op.repeated(spark.createDataFrame([], DOCS), size=401)

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,12 +42,43 @@ def stored(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     depends on the partitioning (numbers of partitions, offsets) as it was."""
     spark, path = df.sparkSession, fresh(df.sparkSession, what)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(df_path: str, spark: SparkSession) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(df_path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that stored() gave and nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def by_group(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], least: int) -> Iterator[pa.Table]:
+    """Sorted batches as tables of `least` rows or more that never part the rows of a key."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held, rows = [*held, b], rows + b.num_rows
+        if rows < least:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        n = rows - 1  # the last key may go on in the next batch
+        new = None
+        for k in keys:
+            c = t[k].combine_chunks()
+            x = pc.not_equal(c.slice(1), c.slice(0, n))
+            new = x if new is None else pc.or_(new, x)
+        at = np.flatnonzero(new.to_numpy(zero_copy_only=False))
+        if len(at):
+            n = int(at[-1]) + 1
+            yield t.slice(0, n)
+            held, rows = t.slice(n).to_batches(), rows - n
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def let(x: Column, f) -> Column:
@@ -55,7 +90,6 @@ def text_of(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
-
 def open_fs(uri: str):
     """(file system, path) for Python code on any machine."""
     from pyarrow import fs

@@ -2,7 +2,8 @@
 
 Every round joins each node's edges to the least neighbour it has, first for larger neighbours, then for
 smaller ones; components shrink to stars around their least node in a few rounds. Each round is stored in
-the shared folder, so that lost executors cost one round at most.
+the shared folder, so that lost executors cost one round at most. So are the least neighbours: a join of two
+plain tables is one that Spark splits by itself where a node has very many edges.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import stored
+from tidelog.llm.common import forget, stored
 
 MAX_ROUNDS = 60
 
@@ -23,13 +24,14 @@ def components(edges: DataFrame) -> DataFrame:
         if not seen[0]:
             break
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         # large star: larger neighbours go to the least one
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = stored(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
         # small star: smaller neighbours and the node itself go to the least one
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").filter("u <> v").distinct()
-        e = stored(small, "edges")
+        before, e = e, stored(small, "edges")
+        forget(before, least, large, low)
         now = _mark(e)
         if now == seen:
             break

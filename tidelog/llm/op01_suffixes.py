@@ -8,7 +8,8 @@ need to be looked at, each with the run of windows that chose it.
 1. Anchors, per document: hash of the gram, fingerprint (128 bits) of all that the run's windows cover. Within a
    batch, runs with equal fingerprints are settled (repeated) at once, and one of them goes on.
 2. By gram hash: runs of unique grams go; runs with equal fingerprints are settled; what has a gram in common
-   but not the whole is open.
+   but not the whole is open. Grams with HOT_ROWS anchors or so (by a sample of the anchors) are dealt out by
+   fingerprint as well, and all that is left of them is open.
 3. Open runs get their bytes. Their suffixes are partitioned by range of their leading bytes (splitters are
    sampled) and sorted in their buckets by multikey quicksort, 8 bytes to a character: a group's suffixes stay
    together as long as their characters agree, and those that agree on all SIZE bytes are repeated.
@@ -16,7 +17,8 @@ need to be looked at, each with the run of windows that chose it.
    windows, packed by digest, and windows that two buckets announce are repeated, too.
 5. Repeated intervals are united by document and cut from its bytes.
 
-Shuffled are anchors (about 0.3 bytes per byte of text), texts twice at most, and bytes of open runs.
+Shuffled are anchors (about 0.3 bytes per byte of text), texts twice (for the open runs' bytes and for the cut),
+and bytes of open runs. Stored tables go as soon as the next one is written.
 
 Defined results: null text is empty; texts below SIZE bytes lose nothing; repeated rows are copies of each other,
 and lose all if they have SIZE bytes; a null doc_id is an id like others; an empty table gives an empty result.
@@ -33,9 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import stored, table, text_of
+from tidelog.llm.common import by_group, forget, stored, table, text_of
 
 SIZE, GRAM, HOT, CHUNK = 400, 128, 5000, 4000
+#: Anchors of one gram that make it hot, and the part of the anchors that is looked at for that.
+HOT_ROWS, LOOK, MATCH_CHUNK, MAX_SENT = 64_000, 64, 200_000, 100_000
 U = np.uint64
 _RNG = np.random.default_rng(20240101)
 _BYTES = _RNG.integers(1, 1 << 63, size=(2, 256), dtype=np.uint64) * U(2) + U(1)
@@ -138,43 +142,46 @@ def _scan(batches: Iterator[pa.RecordBatch], size: int, gram: int) -> Iterator[p
         yield _rows(0, b.column(0).take(pa.array(d)), h[d], x & ((1 << 40) - 1), x & ((1 << 40) - 1), y - (d << 40), np.ones(len(d), dtype=bool))
 
 
-def _match(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Step 2. In: ROW, all of a gram hash together, sorted by g, c1, c2."""
-    t = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-    if t is None or not t.num_rows:
-        return
-    c = {n: t[n].combine_chunks() for n in t.column_names}
-    g, c1, c2 = (c[n].to_numpy() for n in ("g", "c1", "c2"))
-    new_g = np.concatenate([[True], g[1:] != g[:-1]])
-    new_c = new_g | np.concatenate([[True], (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])])
-    first = np.flatnonzero(new_c)
-    rows_of_c = np.diff(np.concatenate([first, [len(g)]]))
-    contexts_of_g = np.add.reduceat(new_c.astype(np.int64), np.flatnonzero(new_g))
-    several = np.repeat(contexts_of_g > 1, np.diff(np.concatenate([np.flatnonzero(new_g), [len(g)]])))
-    done = c["settled"].to_numpy(zero_copy_only=False)
-    copied = np.repeat(rows_of_c > 1, rows_of_c)
-    settled = np.flatnonzero(copied & ~done)
-    # rows that were settled in their batch have their interval already
-    take = lambda n, i: c[n].take(pa.array(i))
-    lo, hi = c["lo"].to_numpy(), c["hi"].to_numpy()
-    yield _rows(0, take("doc_id", settled), c["h"].to_numpy()[settled], lo[settled], lo[settled], hi[settled] + size, np.ones(len(settled), dtype=bool))
-    any_done = np.logical_or.reduceat(done | copied, first)
-    opened = first[several[first]]
-    yield _rows(1, take("doc_id", opened), c["h"].to_numpy()[opened], c["a"].to_numpy()[opened], lo[opened], hi[opened], any_done[several[first]])
+def _match(size: int):
+    """Step 2. In: ROW, hot, salt; all of a gram hash and salt together, sorted by g, salt, c1, c2."""
+
+    def chunk(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        c = {n: t[n].combine_chunks() for n in t.column_names}
+        g, salt, c1, c2 = (c[n].to_numpy() for n in ("g", "salt", "c1", "c2"))
+        new_g = np.concatenate([[True], (g[1:] != g[:-1]) | (salt[1:] != salt[:-1])])
+        new_c = new_g | np.concatenate([[True], (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])])
+        first = np.flatnonzero(new_c)
+        rows_of_c = np.diff(np.concatenate([first, [len(g)]]))
+        contexts_of_g = np.add.reduceat(new_c.astype(np.int64), np.flatnonzero(new_g))
+        several = np.repeat(contexts_of_g > 1, np.diff(np.concatenate([np.flatnonzero(new_g), [len(g)]]))) | c["hot"].to_numpy(zero_copy_only=False)
+        done = c["settled"].to_numpy(zero_copy_only=False)
+        copied = np.repeat(rows_of_c > 1, rows_of_c)
+        settled = np.flatnonzero(copied & ~done)
+        # rows that were settled in their batch have their interval already
+        take = lambda n, i: c[n].take(pa.array(i))
+        lo, hi = c["lo"].to_numpy(), c["hi"].to_numpy()
+        yield _rows(0, take("doc_id", settled), c["h"].to_numpy()[settled], lo[settled], lo[settled], hi[settled] + size, np.ones(len(settled), dtype=bool))
+        any_done = np.logical_or.reduceat(done | copied, first)
+        opened = first[several[first]]
+        yield _rows(1, take("doc_id", opened), c["h"].to_numpy()[opened], c["a"].to_numpy()[opened], lo[opened], hi[opened], any_done[several[first]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_group(batches, ("g", "salt"), MATCH_CHUNK):
+            yield from chunk(t)
+
+    return run
 
 
 SPAN = "doc_id long, h long, lo long, off int, n int, settled boolean, gram binary, span binary"
 
 
 def _spans(batches: Iterator[pa.RecordBatch], size: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Step 3. In: doc_id, h, text, entries (kind, a, lo, hi, settled)."""
+    """Step 3. In: doc_id, h, text, entries (a, lo, hi, settled)."""
     for b in batches:
         rows = []
         for i, (t, entries) in enumerate(zip(b.column(2), b.column(3).to_pylist(), strict=True)):
-            opened = [e for e in entries if e["kind"] == 1]
-            if opened:
-                data = t.as_py().encode()
-                rows += [(i, e["lo"], e["a"] - e["lo"], e["hi"] - e["lo"] + 1, e["settled"], data[e["a"] : e["a"] + gram], data[e["lo"] : e["hi"] + size]) for e in opened]
+            data = t.as_py().encode()
+            rows += [(i, e["lo"], e["a"] - e["lo"], e["hi"] - e["lo"] + 1, e["settled"], data[e["a"] : e["a"] + gram], data[e["lo"] : e["hi"] + size]) for e in entries]
         x = list(zip(*rows, strict=True)) or [[]] * 7
         take = pa.array(x[0], pa.int64())
         yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(x[1], pa.int64()), pa.array(x[2], pa.int32()), pa.array(x[3], pa.int32()), pa.array(x[4], pa.bool_()), pa.array(x[5], pa.binary()), pa.array(x[6], pa.binary())], [y.split()[0] for y in SPAN.split(", ")])
@@ -215,7 +222,7 @@ def _found(ids, h, lo, hi) -> pa.RecordBatch:
 
 
 def _sorter(parts: int, size: int):
-    """Steps 3 and 4. In: SPAN and hot, sorted by gram."""
+    """Steps 3 and 4. In: SPAN, hot and salt, sorted by gram and salt."""
 
     def chunk(t: pa.Table) -> Iterator[pa.RecordBatch]:
         c = {n: t[n].combine_chunks() for n in t.column_names}
@@ -265,26 +272,8 @@ def _sorter(parts: int, size: int):
                 yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.nulls(1, pa.int64()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([int(part[q[0]])], pa.int32()), pa.array([head + x.tobytes()], pa.binary())], [y.split()[0] for y in OUT.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            held, rows = [*held, b], rows + b.num_rows
-            if rows < CHUNK:
-                continue
-            # the last gram may go on in the next batch
-            t = pa.Table.from_batches(held).combine_chunks()
-            g = t["gram"]
-            last = g[-1].as_py()
-            n = t.num_rows
-            while n and g[n - 1].as_py() == last:
-                n -= 1
-            if n:
-                yield from chunk(t.slice(0, n))
-                held, rows = t.slice(n).to_batches(), t.num_rows - n
-        if held:
-            yield from chunk(pa.Table.from_batches(held))
+        for t in by_group(batches, ("gram", "salt"), CHUNK):
+            yield from chunk(t)
 
     return run
 
@@ -312,73 +301,94 @@ def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
     yield _found(pa.array(o[:, 1], pa.int64(), mask=o[:, 0] == 0), np.ascontiguousarray(o[:, 2]), v["s"].astype(np.int64), v["s"].astype(np.int64) + length)
 
 
-RESULT = "doc_id long, h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
-
+def _cut(keep: bool):
+    """Step 5. In: a struct that goes through, text, spans (lo, hi) or null."""
 
-def _cut(keep_bytes: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for t, known, more in zip(b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+            for t, spans in zip(b.column(1), b.column(2), strict=True):
                 data = t.as_py().encode()
-                iv = [(e["lo"], e["hi"]) for e in known if e["kind"] == 0] + [(e["lo"], e["hi"]) for e in more or ()]
-                lo, hi = united(np.array([x[0] for x in iv], dtype=np.int64), np.array([x[1] for x in iv], dtype=np.int64))
-                rest, at = [], 0
-                for x, y in zip(lo.tolist(), hi.tolist(), strict=True):
-                    rest.append(data[at:x])
-                    at = y
-                rest = b"".join([*rest, data[at:]])
-                rows.append((len(data), len(data) - len(rest), len(lo), hashlib.sha256(rest).hexdigest(), rest.decode(errors="ignore") if keep_bytes else None))
-            x = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x[i], pa.int64()) for i in range(3)), pa.array(x[3], pa.string()), pa.array(x[4], pa.string())], [y.split()[0] for y in RESULT.split(", ")])
+                n, rest = 0, data
+                if spans.is_valid and len(spans):
+                    iv = spans.values
+                    lo, hi = united(iv.field("lo").to_numpy(), iv.field("hi").to_numpy())
+                    n, parts, at = len(lo), [], 0
+                    for x, y in zip(lo.tolist(), hi.tolist(), strict=True):
+                        parts.append(data[at:x])
+                        at = y
+                    rest = b"".join([*parts, data[at:]])
+                if keep:
+                    rows.append((n, rest.decode(errors="ignore") if n else None))
+                else:
+                    rows.append((len(data), len(data) - len(rest), n, hashlib.sha256(rest).hexdigest()))
+            kinds = (pa.int64(), pa.string()) if keep else (pa.int64(), pa.int64(), pa.int64(), pa.string())
+            names = ["n_spans", "text"] if keep else ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc", *names])
 
     return run
 
 
-def deduplicated(docs: DataFrame, keep_bytes: bool = False, size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """docs: doc_id, text. size: bytes of a repeated string, a multiple of 8; gram: of an anchor's string. RESULT for the documents that share a gram with another place; one row for each
-    doc_id and text (h: xxhash64 of the text). Other documents lose nothing."""
+def repeated(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
+    """docs: doc_id, text. (doc_id, h, spans): the intervals of bytes (lo, hi), overlapping, that repeated strings of
+    `size` bytes cover; a row for each doc_id and text (h: xxhash64 of the text) that has any. size: a multiple
+    of 8; gram: bytes of an anchor's string."""
     if size % 8 or not 0 < gram <= size // 2:
         raise ValueError("size must be a multiple of 8, and gram at most its half")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("h"), text_of().alias("text"))
     scan = stored(base.mapInArrow(partial(_scan, size=size, gram=gram), ROW), "anchors")
-    grams = scan.filter("kind = 1").repartition(parts, "g").sortWithinPartitions("g", "c1", "c2")
-    matched = stored(grams.mapInArrow(partial(_match, size=size), ROW), "matched")
-    entry = F.struct("kind", "a", "lo", "hi", "settled")
-    per = scan.filter("kind = 0").unionAll(matched).groupBy("doc_id", "h").agg(F.collect_list(entry).alias("entries")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "entries")
+    runs = scan.filter("kind = 1")
+    hot = runs.select("g").sample(1 / LOOK, 1).groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") >= max(2, HOT_ROWS // LOOK)).select(F.col("g").alias("_g"))
+    hot = stored(hot, "hot")
+    if n := hot.count():
+        runs = runs.join(F.broadcast(hot) if n <= MAX_SENT else hot, F.col("g") == F.col("_g"), "left").withColumn("hot", F.col("_g").isNotNull()).withColumn("salt", F.when(F.col("hot"), F.pmod(F.col("c1"), F.lit(parts))).otherwise(F.lit(0)).cast("long")).drop("_g")
+    else:
+        runs = runs.withColumn("hot", F.lit(False)).withColumn("salt", F.lit(0).cast("long"))
+    grams = runs.repartition(parts, "g", "salt").sortWithinPartitions("g", "salt", "c1", "c2")
+    matched = stored(grams.mapInArrow(_match(size), ROW), "matched")
+    entry = F.struct("a", "lo", "hi", "settled")
+    per = matched.filter("kind = 1").groupBy("doc_id", "h").agg(F.collect_list(entry).alias("entries")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "entries")
     same = F.col("h").eqNullSafe(F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    held = stored(base.join(per.hint("shuffle_merge"), same).select("doc_id", "h", "text", "entries"), "held")
-    spans = stored(held.mapInArrow(partial(_spans, size=size, gram=gram), SPAN), "spans")
+    opened = base.join(per.hint("shuffle_merge"), same).select("doc_id", "h", "text", "entries")
+    spans = stored(opened.mapInArrow(partial(_spans, size=size, gram=gram), SPAN), "spans")
     counts = spans.groupBy(F.xxhash64("gram").alias("_g")).agg(F.count("*").alias("c")).filter(F.col("c") > HOT)
-    spans = spans.join(counts, F.xxhash64("gram") == F.col("_g"), "left").withColumn("salt", F.when(F.col("c").isNotNull(), F.pmod(F.xxhash64("doc_id", "lo"), F.ceil(F.col("c") / HOT)))).withColumn("hot", F.col("c").isNotNull())
-    ordered = spans.repartitionByRange(parts, "gram", "salt").sortWithinPartitions("gram", "salt").select(*[x.split()[0] for x in SPAN.split(", ")], "hot")
+    spread = spans.join(counts, F.xxhash64("gram") == F.col("_g"), "left").withColumn("salt", F.when(F.col("c").isNotNull(), F.pmod(F.xxhash64("doc_id", "lo"), F.ceil(F.col("c") / HOT))).otherwise(F.lit(0).cast("long"))).withColumn("hot", F.col("c").isNotNull())
+    ordered = spread.repartitionByRange(parts, "gram", "salt").sortWithinPartitions("gram", "salt").select(*[x.split()[0] for x in SPAN.split(", ")], "hot", "salt")
     found = stored(ordered.mapInArrow(_sorter(parts, size), OUT), "found")
     across = found.filter("kind = 2").select("part", "blob").repartition(parts, "part").mapInArrow(partial(_compare, length=size), OUT)
-    more = found.filter("kind = 0").unionAll(across).groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("more")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "more")
-    whole = held.join(more.hint("shuffle_merge"), same, "left").select("doc_id", "h", "text", "entries", "more")
-    return whole.mapInArrow(_cut(keep_bytes), RESULT)
+    every = scan.filter("kind = 0").select("doc_id", "h", "lo", "hi").unionAll(matched.filter("kind = 0").select("doc_id", "h", "lo", "hi")).unionAll(found.filter("kind = 0").unionAll(across).select("doc_id", "h", "lo", "hi"))
+    out = stored(every.groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "repeats")
+    forget(scan, hot, matched, spans, found)
+    return out
+
+
+def cut(docs: DataFrame, doc, size: int = SIZE, gram: int = GRAM, keep: bool = False) -> DataFrame:
+    """doc: a struct of docs' columns that goes through. Beside it, the text's counts and digest, or with keep the
+    number of intervals and what is left of the text (null where nothing is cut)."""
+    spans = repeated(docs, size, gram).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "spans")
+    whole = docs.select(doc.alias("doc"), F.col("doc_id").cast("long").alias("_doc_id"), F.xxhash64(text_of()).alias("_text_h"), text_of().alias("_text"))
+    on = F.col("_text_h").eqNullSafe(F.col("_h")) & F.col("_doc_id").eqNullSafe(F.col("_id"))
+    both = whole.join(spans.hint("shuffle_merge"), on, "left").select("doc", "_text", "spans")
+    kind = both.schema["doc"].dataType.simpleString()
+    return both.mapInArrow(_cut(keep), f"doc {kind}, " + ("n_spans long, text string" if keep else "n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
 def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    cut = deduplicated(docs).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "n_removed", "n_spans", "kept_sha256").dropDuplicates(["_id", "_h"])
-    base = docs.select("doc_id", F.xxhash64(text_of()).alias("h"), F.octet_length(text_of()).cast("long").alias("n_bytes"), F.sha2(text_of().cast("binary"), 256).alias("sha"))
-    out = base.join(cut, F.col("h").eqNullSafe(F.col("_h")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
-    zero = F.lit(0).cast("long")
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    out = cut(table(spark, sf_dir, "documents"), F.struct("doc_id"))
+    return out.select("doc.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def filter_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """docs with repeated passages cut from text, n_chars of cut texts made to fit; what is left of a cut
     character's bytes goes. All other columns stay."""
-    cut = deduplicated(docs, True, size, gram).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("kept").alias("_kept")).dropDuplicates(["_id", "_h"])
-    whole = docs.select(F.struct("*").alias("doc"))
-    on = F.xxhash64(text_of("doc.text")).eqNullSafe(F.col("_h")) & F.col("doc.doc_id").cast("long").eqNullSafe(F.col("_id"))
-    text = F.when(F.col("_h").isNotNull(), F.col("_kept")).otherwise(F.col("doc.text"))
-    changed = {"text": text} | ({"n_chars": F.when(F.col("_h").isNotNull(), F.char_length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))} if "n_chars" in docs.columns else {})
-    return whole.join(cut, on, "left").select(*[changed.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
+    out, is_cut = cut(docs, F.struct("*"), size, gram, True), F.col("n_spans") > 0
+    changed = {"text": F.when(is_cut, F.col("text")).otherwise(F.col("doc.text"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(is_cut, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))
+    return out.select(*[changed.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
 QUERIES, ORACLE = {"op1_suffixes": op1_suffixes}, {}

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import bpe
-from tidelog.llm.common import stored, table, text_of
+from tidelog.llm.common import forget, stored, table, text_of
 
 MAX_TRAIN, MAX_TOKENS, PRIOR, SHRINK, LEAST_Z, LEAST_DRIFT, CUT = 40_000, 50_000, 500.0, 1.0, 4.0, 0.02, 0.3
 PREFIXES = range(3, 8)
@@ -58,12 +58,14 @@ def weights(train: DataFrame) -> tuple[dict[str, float], float]:
     t = tokens.agg(F.sum("y").alias("y"), F.sum("x").alias("x")).first()
     ny, nx = float(t.y or 0), float(t.x or 0)
     if not ny or not nx:
+        forget(tokens, counts)
         return {}, LEAST_DRIFT
     a = 0.5 + PRIOR * (F.col("x") + F.col("y")) / F.lit(nx + ny)
     odds = lambda c, n: F.log((F.col(c) + a) / (F.lit(n + PRIOR) - F.col(c) - a))
     se = F.sqrt(1 / (F.col("y") + a) + 1 / (F.col("x") + a))
     scored = counts.withColumn("d", odds("y", ny) - odds("x", nx)).withColumn("se", se).filter(F.col("d") >= LEAST_Z * F.col("se"))
     top = scored.orderBy((F.col("d") / F.col("se")).desc(), "token").limit(MAX_TOKENS).select("token", (F.col("d") - SHRINK * F.col("se")).alias("w"), "y", "x").collect()
+    forget(tokens, counts)
     listed = {r.token: float(r.w) for r in top if r.w > 0}
     q, p = min(0.5, sum(r.y for r in top) / ny), min(0.5, sum(r.x for r in top) / nx)
     return listed, max(LEAST_DRIFT, float(np.log((1 - p) / max(1e-9, 1 - q))))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import stored, table, text_of
+from tidelog.llm.common import forget, stored, table, text_of
 from tidelog.llm.graph import components
 
 BITS, SPLIT = 3, 20_000
@@ -310,11 +310,12 @@ def filter_near(docs: DataFrame) -> DataFrame:
 
     sk = reps.select(F.col("row").alias("_r"), "sketch")
     pairs = near.join(sk.withColumnsRenamed({"_r": "u", "sketch": "a"}), "u").join(sk.withColumnsRenamed({"_r": "v", "sketch": "b"}), "v").select("u", "v", "a", "b")
-    roots = stored(components(pairs.mapInArrow(verify, "u long, v long")), "roots")
+    roots = components(pairs.mapInArrow(verify, "u long, v long"))
+    forget(reps)
     # a component's root is its least row; the one that stays has the least doc_id
     group = roots.select("node", "root").unionAll(roots.select(F.col("root").alias("node"), "root").distinct()).join(first, F.col("node") == F.col("row"))
     stays = group.groupBy("root").agg(F.min("k").alias("best"))
-    gone = group.join(stays, "root").filter(F.col("row") != F.col("best.row")).select("row")
+    gone = group.select("row").join(stays.select(F.col("best.row").alias("row")), "row", "left_anti")
     return made.join(copies.unionAll(gone), "row", "left_anti").select("doc.*")
 
 

@@ -82,8 +82,7 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 def fences(sk: DataFrame) -> DataFrame:
     """One row per (lang, source): lo_<metric> and hi_<metric>."""
-    sk.createOrReplaceTempView("tidelog_sketch")
-    return sk.sparkSession.sql(FENCES_SQL.replace("SKETCH", "tidelog_sketch"))
+    return sk.sparkSession.sql(FENCES_SQL.replace("SKETCH", "{sketch}"), sketch=sk)
 
 
 def _case(col):
