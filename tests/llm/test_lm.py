@@ -53,7 +53,8 @@ def test_odd_rows(spark, tmp_path):
 def test_rare_words_meet_their_counts_in_a_join(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(op, "TOP_WORDS", 20)
     docs = odd_docs()
-    check(spark, table_at(spark, tmp_path, documents=spark.createDataFrame(docs, DOCS)), [d[:2] for d in docs])
+    got = check(spark, table_at(spark, tmp_path, documents=spark.createDataFrame(docs, DOCS)), [d[:2] for d in docs])
+    assert all(r[6] < 0 and math.isfinite(r[6]) for r in got)
 
 
 def test_empty_and_untrained(spark, tmp_path):
@@ -80,8 +81,8 @@ def test_distribution_sums_to_one(spark, seen):
     z = op._forward(m.net, pad, ok)[0, n]
     p = np.exp(z - z.max())
     p /= p.sum()
-    total = sum(p[m.cls[i]] * math.exp(m.share[i]) for i in m.index.values()) + p[op.CLASSES] + p[op.CLASSES + 1]
-    empty = 1 - sum(p[c] for c in set(m.cls.tolist())) - p[op.CLASSES] - p[op.CLASSES + 1]
+    total = sum(p[m.cls[i]] * math.exp(m.share[i]) for i in m.index.values()) + p[op.RARE] + p[op.END] + p[op.UNSEEN]
+    empty = 1 - sum(p[c] for c in set(m.cls.tolist())) - p[op.RARE] - p[op.END] - p[op.UNSEEN]
     assert abs(total + empty - 1) < 1e-6 and empty < 0.05 and len(texts) == len(vocabulary)
 
 
