@@ -178,7 +178,7 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
 # Texts whose sets of shingles are alike. At a similarity of 0.8, 64-bit fingerprints differ in 10 bits or so, where
 # bytes have little in common: fingerprints are wider, lists are those of min-wise keys, and links are verified.
 
-SHINGLE, ALIKE, FAR, WIDE, SKETCH, BANDS, ROWS = 5, 0.8, 80, 4, 256, 14, 4
+SHINGLE, ALIKE, FAR, WIDE, SKETCH, BANDS, ROWS = 5, 0.8, 80, 4, 1024, 14, 4
 _SEEDS = np.random.default_rng(77).integers(0, 1 << 63, size=(2, BANDS * ROWS), dtype=np.uint64) * U(2) + U(1)
 _MIX = np.random.default_rng(78).integers(0, 1 << 63, size=WIDE, dtype=np.uint64)
 MOST_EXACT = 6000
@@ -200,7 +200,7 @@ def shingle_set(text: str, width: int = SHINGLE) -> np.ndarray:
 
 
 def summary(h: np.ndarray) -> tuple[bytes, list[int], bytes]:
-    """(fingerprint, band keys, the least hashes) of a shingle set."""
+    """(fingerprint, band keys, the upper halves of the least hashes) of a shingle set."""
     ones, least = np.zeros((WIDE, 64), dtype=np.int64), np.full(BANDS * ROWS, 0xFFFFFFFFFFFFFFFF, dtype=U)
     for i in range(0, len(h), 4096):
         x = h[i : i + 4096]
@@ -211,7 +211,7 @@ def summary(h: np.ndarray) -> tuple[bytes, list[int], bytes]:
     keys = np.zeros(BANDS, dtype=U)
     for r in range(ROWS):
         keys = _scramble(keys ^ least[r::ROWS])
-    return np.packbits((2 * ones > len(h)).astype(np.uint8), axis=1, bitorder="little").tobytes(), keys.view(np.int64).tolist(), h[:SKETCH].tobytes()
+    return np.packbits((2 * ones > len(h)).astype(np.uint8), axis=1, bitorder="little").tobytes(), keys.view(np.int64).tolist(), (h[:SKETCH] >> U(32)).astype("<u4").tobytes()
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -300,12 +300,12 @@ def filter_near(docs: DataFrame) -> DataFrame:
         if out := done(ids, fps):
             yield _edges(out)
 
-    near = rows.repartition(parts, "band", "key").sortWithinPartitions("band", "key").mapInArrow(forests, "u long, v long")
+    near = rows.repartition(parts, "band", "key").sortWithinPartitions("band", "key", "row").mapInArrow(forests, "u long, v long")
     near = near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [jaccard(np.frombuffer(x.as_buffer(), dtype=U), np.frombuffer(y.as_buffer(), dtype=U)) >= ALIKE for x, y in zip(b.column(2), b.column(3), strict=True)]
+            ok = [jaccard(np.frombuffer(x.as_buffer(), dtype="<u4"), np.frombuffer(y.as_buffer(), dtype="<u4")) >= ALIKE for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     sk = reps.select(F.col("row").alias("_r"), "sketch")
