@@ -178,7 +178,7 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
 # Texts whose sets of shingles are alike. At a similarity of 0.8, 64-bit fingerprints differ in 10 bits or so, where
 # bytes have little in common: fingerprints are wider, lists are those of min-wise keys, and links are verified.
 
-SHINGLE, ALIKE, FAR, WIDE, SKETCH, BANDS, ROWS = 5, 0.8, 80, 4, 1024, 14, 4
+SHINGLE, ALIKE, FAR, WIDE, BANDS, ROWS = 5, 0.8, 80, 4, 14, 4
 _SEEDS = np.random.default_rng(77).integers(0, 1 << 63, size=(2, BANDS * ROWS), dtype=np.uint64) * U(2) + U(1)
 _MIX = np.random.default_rng(78).integers(0, 1 << 63, size=WIDE, dtype=np.uint64)
 MOST_EXACT = 6000
@@ -200,7 +200,7 @@ def shingle_set(text: str, width: int = SHINGLE) -> np.ndarray:
 
 
 def summary(h: np.ndarray) -> tuple[bytes, list[int], bytes]:
-    """(fingerprint, band keys, the upper halves of the least hashes) of a shingle set."""
+    """(fingerprint, band keys, the upper halves of all hashes) of a shingle set."""
     ones, least = np.zeros((WIDE, 64), dtype=np.int64), np.full(BANDS * ROWS, 0xFFFFFFFFFFFFFFFF, dtype=U)
     for i in range(0, len(h), 4096):
         x = h[i : i + 4096]
@@ -211,15 +211,13 @@ def summary(h: np.ndarray) -> tuple[bytes, list[int], bytes]:
     keys = np.zeros(BANDS, dtype=U)
     for r in range(ROWS):
         keys = _scramble(keys ^ least[r::ROWS])
-    return np.packbits((2 * ones > len(h)).astype(np.uint8), axis=1, bitorder="little").tobytes(), keys.view(np.int64).tolist(), (h[:SKETCH] >> U(32)).astype("<u4").tobytes()
+    return np.packbits((2 * ones > len(h)).astype(np.uint8), axis=1, bitorder="little").tobytes(), keys.view(np.int64).tolist(), np.unique((h >> U(32)).astype("<u4")).tobytes()
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sketches: exact for sets of at most SKETCH shingles, else of the SKETCH least ones of the union."""
-    u = np.union1d(a, b)
-    if len(a) >= SKETCH or len(b) >= SKETCH:
-        u = u[:SKETCH]
-    return len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), u, assume_unique=True)) / max(1, len(u))
+    """Of two whole sets."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
 
 
 def spanning(fps: np.ndarray) -> list[tuple[int, int]]:
@@ -261,23 +259,23 @@ def filter_near(docs: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 40
-        for b in batches:
+        for b in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             sets = [shingle_set(t.as_py()) for t in b.column(1)]
             got = [summary(h) for h in sets]
             both = [xxhash.xxh3_128_intdigest(h.tobytes()) for h in sets]
             half = lambda k: pa.array(np.array([x >> k & 0xFFFFFFFFFFFFFFFF for x in both], dtype=U).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(row + np.arange(len(got))), half(0), half(64), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.binary())], ["doc", "row", "s1", "s2", "fp", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(row + np.arange(len(got))), half(0), half(64), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.binary())], ["doc", "row", "s1", "s2", "fp", "keys", "hashes"])
             row += len(got)
 
     whole = docs.select(F.struct("*").alias("doc"), text_of().alias("text"))
     kind = whole.schema["doc"].dataType.simpleString()
-    made = stored(whole.mapInArrow(run, f"doc {kind}, row long, s1 long, s2 long, fp binary, keys array<long>, sketch binary"), "near")
+    made = stored(whole.mapInArrow(run, f"doc {kind}, row long, s1 long, s2 long, fp binary, keys array<long>, hashes binary"), "near")
     rank = F.struct(F.col("doc.doc_id").isNull().alias("null_id"), F.col("doc.doc_id").alias("id"), F.col("row").alias("row"))
     # copies: one row of each set goes on
     sets = made.select("s1", "s2", rank.alias("k")).groupBy("s1", "s2").agg(F.min("k").alias("k"))
     copies = made.select("s1", "s2", "row").join(sets.select("s1", "s2", F.col("k.row").alias("rep")), ["s1", "s2"]).filter("row <> rep").select("row")
     first = sets.select(F.col("k.row").alias("row"), "k")
-    reps = stored(made.select("row", "fp", "keys", "sketch").join(first, "row"), "sets")
+    reps = stored(made.select("row", "fp", "keys").join(first, "row"), "sets")
     rows = reps.select(F.posexplode("keys").alias("band", "key"), "row", "fp").filter(F.length("fp") > 0)
 
     def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,8 +306,8 @@ def filter_near(docs: DataFrame) -> DataFrame:
             ok = [jaccard(np.frombuffer(x.as_buffer(), dtype="<u4"), np.frombuffer(y.as_buffer(), dtype="<u4")) >= ALIKE for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    sk = reps.select(F.col("row").alias("_r"), "sketch")
-    pairs = near.join(sk.withColumnsRenamed({"_r": "u", "sketch": "a"}), "u").join(sk.withColumnsRenamed({"_r": "v", "sketch": "b"}), "v").select("u", "v", "a", "b")
+    whole_sets = made.select(F.col("row").alias("_r"), "hashes")
+    pairs = near.join(whole_sets.withColumnsRenamed({"_r": "u", "hashes": "a"}), "u").join(whole_sets.withColumnsRenamed({"_r": "v", "hashes": "b"}), "v").select("u", "v", "a", "b")
     roots = components(pairs.mapInArrow(verify, "u long, v long"))
     forget(reps)
     # a component's root is its least row; the one that stays has the least doc_id
