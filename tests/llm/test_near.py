@@ -19,6 +19,24 @@ def brute(texts):
     return sorted(set(components(len(texts), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))))
 
 
+def copies(rng, bases, n, changes):
+    out = []
+    for _ in range(bases):
+        base = prose(rng, 150, 3000).split()
+        for _ in range(n):
+            w = list(base)
+            for i in rng.sample(range(len(w)), rng.choice(changes)):
+                w[i] = f"x{rng.randrange(10**9)}"
+            out.append(" ".join(w))
+    return out
+
+
+def test_pairs_off_the_forest(spark):
+    """Pairs of 0.8 whose path in a list's forest has steps below 0.8."""
+    texts = copies(random.Random(1), 20, 30, (2, 3, 4))
+    assert kept(spark, texts) == brute(texts)
+
+
 @pytest.mark.parametrize("changed", [66, 68])
 def test_long_texts(spark, changed):
     """Pairs of 3,000 words close to 0.8, on either side, are told apart by their whole sets."""

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import forget, stored, table, text_of
+from tidelog.llm.common import by_group, forget, stored, table, text_of
 from tidelog.llm.graph import components
 
 BITS, SPLIT = 3, 20_000
@@ -176,12 +176,17 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 # Texts whose sets of shingles are alike. At a similarity of 0.8, 64-bit fingerprints differ in 10 bits or so, where
-# bytes have little in common: fingerprints are wider, lists are those of min-wise keys, and links are verified.
+# bytes have little in common: fingerprints are wider, lists are those of min-wise keys, and links are verified by
+# whole sets. The forest of a list by fingerprints finds most components; then every pair of a list that is still in
+# two components is compared.
 
 SHINGLE, ALIKE, FAR, WIDE, BANDS, ROWS = 5, 0.8, 80, 4, 14, 4
 _SEEDS = np.random.default_rng(77).integers(0, 1 << 63, size=(2, BANDS * ROWS), dtype=np.uint64) * U(2) + U(1)
 _MIX = np.random.default_rng(78).integers(0, 1 << 63, size=WIDE, dtype=np.uint64)
 MOST_EXACT = 6000
+#: A pair at ALIKE differs in at most this share of its two sizes. Parities of hash buckets (MOST_BITS at most) differ
+#: in no more places than the sets do, which rules pairs out for certain.
+APART, LEAST_BITS, MOST_BITS = (1 - ALIKE) / (1 + ALIKE) + 1e-9, 64, 4096
 
 
 def _scramble(x):
@@ -199,7 +204,7 @@ def shingle_set(text: str, width: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(words[i : i + width]), 42) for i in range(max(1, len(words) - width + 1))], dtype=U))
 
 
-def summary(h: np.ndarray) -> tuple[bytes, list[int], bytes]:
+def summary(h: np.ndarray) -> tuple[bytes, list[int], np.ndarray]:
     """(fingerprint, band keys, the upper halves of all hashes) of a shingle set."""
     ones, least = np.zeros((WIDE, 64), dtype=np.int64), np.full(BANDS * ROWS, 0xFFFFFFFFFFFFFFFF, dtype=U)
     for i in range(0, len(h), 4096):
@@ -211,7 +216,7 @@ def summary(h: np.ndarray) -> tuple[bytes, list[int], bytes]:
     keys = np.zeros(BANDS, dtype=U)
     for r in range(ROWS):
         keys = _scramble(keys ^ least[r::ROWS])
-    return np.packbits((2 * ones > len(h)).astype(np.uint8), axis=1, bitorder="little").tobytes(), keys.view(np.int64).tolist(), np.unique((h >> U(32)).astype("<u4")).tobytes()
+    return np.packbits((2 * ones > len(h)).astype(np.uint8), axis=1, bitorder="little").tobytes(), keys.view(np.int64).tolist(), np.unique((h >> U(32)).astype("<u4"))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -249,6 +254,141 @@ def spanning(fps: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Whether the hashes in each bucket are odd in number; some 1.5 buckets or more a hash."""
+    d = LEAST_BITS
+    while d < min(1.5 * len(hashes), MOST_BITS):
+        d *= 2
+    odd = np.bincount(hashes & np.uint32(d - 1), minlength=d) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(U)
+
+
+def _fold(p: np.ndarray, words: int) -> np.ndarray:
+    while p.shape[-1] > words:
+        h = p.shape[-1] // 2
+        p = p[..., :h] ^ p[..., h:]
+    return p
+
+
+class Others:
+    """Rows of a list to be compared with: those that may be at ALIKE with a row, by sizes and parities."""
+
+    def __init__(self, sizes: np.ndarray, odd: list[np.ndarray]):
+        words = np.array([len(x) for x in odd])
+        self.parts = []
+        for w in np.unique(words).tolist():
+            at = np.flatnonzero(words == w)
+            at = at[np.argsort(sizes[at], kind="stable")]
+            self.parts.append((w, at, sizes[at], np.stack([odd[i] for i in at])))
+
+    def near(self, size: int, odd: np.ndarray) -> np.ndarray:
+        """Places, the nearest first."""
+        found, far = [], []
+        for w, at, sizes, p in self.parts:
+            a, e = np.searchsorted(sizes, [ALIKE * size - 1e-6, size / ALIKE + 1e-6])
+            if a < e:
+                k = min(w, len(odd))
+                d = np.bitwise_count(_fold(p[a:e], k) ^ _fold(odd, k)).sum(axis=1, dtype=np.int64)
+                ok = d <= APART * (sizes[a:e] + size)
+                found.append(at[a:e][ok])
+                far.append(d[ok] / (sizes[a:e][ok] + size))
+        if not found:
+            return np.zeros(0, dtype=np.int64)
+        return np.concatenate(found)[np.argsort(np.concatenate(far), kind="stable")]
+
+
+def unlinked(lists: DataFrame, roots: DataFrame, made: DataFrame) -> DataFrame:
+    """Edges u, v of 0.8 that link all pairs of 0.8 in the same list (band, key, row) but in different components.
+
+    Rows of a list's largest component need not be compared with each other; all other pairs of different components
+    are. Two steps: rows with a partner that sizes and parities do not rule out, then those rows' whole sets."""
+    parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = stored(lists.join(roots.select(F.col("node").alias("row"), "root"), "row", "left").select("band", "key", "row", F.coalesce("root", "row").alias("root")), "placed")
+    sizes = placed.groupBy("band", "key", "root").agg(F.count("*").alias("n")).groupBy("band", "key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top")).filter("n > top.n")
+    sizes = stored(sizes.select("band", "key", "n", F.col("top.root").alias("top"), (F.col("n") - F.col("top.n")).alias("rest")), "sizes")
+    mixed = placed.join(sizes, ["band", "key"]).withColumn("few", F.col("root") != F.col("top"))
+    told = dealt(mixed).join(made.select("row", "size", "odd"), "row")
+    told = told.repartition(parts, "band", "key", "s", "t").sortWithinPartitions("band", "key", "s", "t")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for key, rows in _lists(batches):
+            left = [i for i, r in enumerate(rows) if r["side"] == 0]
+            right = [i for i, r in enumerate(rows) if r["side"] == 1]
+            if not left or not right:
+                continue
+            root, ids, few = (np.array([rows[i][k] for i in right]) for k in ("root", "row", "few"))
+            others = Others(np.array([rows[i]["size"] for i in right]), [np.frombuffer(rows[i]["odd"], dtype="<u8") for i in right])
+            met = set()
+            for i in left:
+                x = rows[i]
+                at = others.near(x["size"], np.frombuffer(x["odd"], dtype="<u8"))
+                at = at[(root[at] != x["root"]) & (~few[at] | (ids[at] > x["row"]))]
+                if len(at):
+                    met.add(i)
+                    met.update(right[j] for j in at.tolist())
+            out += [dict(zip(("band", "key", "s", "t"), key, strict=True)) | {k: rows[i][k] for k in ("row", "root", "few", "side")} for i in sorted(met)]
+            if len(out) > 1000:
+                yield pa.RecordBatch.from_pylist(out, schema=kept)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=kept)
+
+    kept = pa.schema([("band", pa.int32()), ("key", pa.int64()), ("s", pa.int64()), ("t", pa.int64()), ("row", pa.int64()), ("root", pa.int64()), ("few", pa.bool_()), ("side", pa.int32())])
+    open_ = stored(told.mapInArrow(search, "band int, key long, s long, t long, row long, root long, few boolean, side int"), "open")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for _, rows in _lists(batches):
+            to = {}
+
+            def find(x, to=to):
+                while to.get(x, x) != x:
+                    to[x] = to.get(to[x], to[x])
+                    x = to[x]
+                return x
+
+            right = [r for r in rows if r["side"] == 1]
+            sets = [np.frombuffer(r["hashes"], dtype="<u4") for r in right]
+            others = Others(np.array([len(h) for h in sets]), [parities(h) for h in sets])
+            for x in rows:
+                if x["side"] == 0:
+                    h = np.frombuffer(x["hashes"], dtype="<u4")
+                    for j in others.near(len(h), parities(h)).tolist():
+                        y = right[j]
+                        if (not y["few"] or y["row"] > x["row"]) and find(x["root"]) != find(y["root"]) and jaccard(h, sets[j]) >= ALIKE:
+                            to[find(x["root"])] = find(y["root"])
+                            out.append((x["row"], y["row"]))
+        if out:
+            yield _edges(out)
+
+    whole = open_.join(made.select("row", "hashes"), "row").repartition(parts, "band", "key", "s", "t").sortWithinPartitions("band", "key", "s", "t")
+    out = stored(whole.mapInArrow(verify, "u long, v long").distinct(), "links")
+    forget(placed, sizes, open_)
+    return out
+
+
+def dealt(mixed: DataFrame) -> DataFrame:
+    """s, t: the task of a list's rows; side 0 (rows outside the largest component) is compared with side 1 (all)."""
+    sides = F.filter(F.array(F.when(F.col("few"), F.lit(0)), F.lit(1)), lambda x: x.isNotNull())
+    return mixed.select("band", "key", "row", "root", "few", F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("t"), F.explode(sides).alias("side"))
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """((band, key, s, t), rows) of sorted batches."""
+    for t in by_group(batches, ("band", "key", "s", "t"), 1):
+        last, rows = None, []
+        for r in t.to_pylist():
+            key = (r["band"], r["key"], r["s"], r["t"])
+            if key != last and rows:
+                yield last, rows
+                rows = []
+            last = key
+            rows.append(r)
+        if rows:
+            yield last, rows
+
+
 def filter_near(docs: DataFrame) -> DataFrame:
     """One document of each group of near-duplicates: that with the least doc_id (a null is larger than all;
     then any). Groups are components of pairs whose sets of five-word shingles have a similarity of 0.8 or more.
@@ -264,12 +404,12 @@ def filter_near(docs: DataFrame) -> DataFrame:
             got = [summary(h) for h in sets]
             both = [xxhash.xxh3_128_intdigest(h.tobytes()) for h in sets]
             half = lambda k: pa.array(np.array([x >> k & 0xFFFFFFFFFFFFFFFF for x in both], dtype=U).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(row + np.arange(len(got))), half(0), half(64), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.binary())], ["doc", "row", "s1", "s2", "fp", "keys", "hashes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(row + np.arange(len(got))), half(0), half(64), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2].tobytes() for g in got], pa.binary()), pa.array([len(g[2]) for g in got], pa.int32()), pa.array([parities(g[2]).tobytes() for g in got], pa.binary())], ["doc", "row", "s1", "s2", "fp", "keys", "hashes", "size", "odd"])
             row += len(got)
 
     whole = docs.select(F.struct("*").alias("doc"), text_of().alias("text"))
     kind = whole.schema["doc"].dataType.simpleString()
-    made = stored(whole.mapInArrow(run, f"doc {kind}, row long, s1 long, s2 long, fp binary, keys array<long>, hashes binary"), "near")
+    made = stored(whole.mapInArrow(run, f"doc {kind}, row long, s1 long, s2 long, fp binary, keys array<long>, hashes binary, size int, odd binary"), "near")
     rank = F.struct(F.col("doc.doc_id").isNull().alias("null_id"), F.col("doc.doc_id").alias("id"), F.col("row").alias("row"))
     # copies: one row of each set goes on
     sets = made.select("s1", "s2", rank.alias("k")).groupBy("s1", "s2").agg(F.min("k").alias("k"))
@@ -279,27 +419,33 @@ def filter_near(docs: DataFrame) -> DataFrame:
     rows = reps.select(F.posexplode("keys").alias("band", "key"), "row", "fp").filter(F.length("fp") > 0)
 
     def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(ids, fps):
+        def done(at, ids, fps):
             if len(ids) < 2:
                 return []
-            return [(ids[i], ids[j]) for i, j in spanning(np.frombuffer(b"".join(fps), dtype="<u8").reshape(-1, WIDE))]
+            e = spanning(np.frombuffer(b"".join(fps), dtype="<u8").reshape(-1, WIDE))
+            return [(*at, i, None) for i in ids] + [(*at, min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in e]
+
+        def batch(out):
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["band", "key", "u", "v"])
 
         last, ids, fps = None, [], []
         for b in batches:
             out = []
             for band, key, row, fp in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (band, key) != last:
-                    out += done(ids, fps)
+                    out += done(last, ids, fps)
                     last, ids, fps = (band, key), [], []
                 ids.append(row)
                 fps.append(fp)
             if out:
-                yield _edges(out)
-        if out := done(ids, fps):
-            yield _edges(out)
+                yield batch(out)
+        if out := done(last, ids, fps):
+            yield batch(out)
 
-    near = rows.repartition(parts, "band", "key").sortWithinPartitions("band", "key", "row").mapInArrow(forests, "u long, v long")
-    near = near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    # lists of two rows or more: the rows, and the forest's edges
+    found = stored(rows.repartition(parts, "band", "key").sortWithinPartitions("band", "key", "row").mapInArrow(forests, "band int, key long, u long, v long"), "lists")
+    forget(reps)
+    near = found.filter("v IS NOT NULL").select("u", "v").distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -309,7 +455,11 @@ def filter_near(docs: DataFrame) -> DataFrame:
     whole_sets = made.select(F.col("row").alias("_r"), "hashes")
     pairs = near.join(whole_sets.withColumnsRenamed({"_r": "u", "hashes": "a"}), "u").join(whole_sets.withColumnsRenamed({"_r": "v", "hashes": "b"}), "v").select("u", "v", "a", "b")
     roots = components(pairs.mapInArrow(verify, "u long, v long"))
-    forget(reps)
+    # pairs of 0.8 that no path of such edges joins yet
+    more = unlinked(found.filter("v IS NULL").select("band", "key", F.col("u").alias("row")), roots, made)
+    if not more.isEmpty():
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(more))
+    forget(found)
     # a component's root is its least row; the one that stays has the least doc_id
     group = roots.select("node", "root").unionAll(roots.select(F.col("root").alias("node"), "root").distinct()).join(first, F.col("node") == F.col("row"))
     stays = group.groupBy("root").agg(F.min("k").alias("best"))
