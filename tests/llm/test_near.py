@@ -37,6 +37,13 @@ def test_pairs_off_the_forest(spark):
     assert kept(spark, texts) == brute(texts)
 
 
+def test_long_lists(spark, monkeypatch):
+    texts = copies(random.Random(2), 2, 300, (2, 3, 4))
+    monkeypatch.setattr(op, "MOST_EXACT", 20)
+    monkeypatch.setattr(op, "BLOCK", 30, raising=False)
+    assert kept(spark, texts) == brute(texts)
+
+
 @pytest.mark.parametrize("changed", [66, 68])
 def test_long_texts(spark, changed):
     """Pairs of 3,000 words close to 0.8, on either side, are told apart by their whole sets."""

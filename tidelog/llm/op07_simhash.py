@@ -183,7 +183,10 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
 SHINGLE, ALIKE, FAR, WIDE, BANDS, ROWS = 5, 0.8, 80, 4, 14, 4
 _SEEDS = np.random.default_rng(77).integers(0, 1 << 63, size=(2, BANDS * ROWS), dtype=np.uint64) * U(2) + U(1)
 _MIX = np.random.default_rng(78).integers(0, 1 << 63, size=WIDE, dtype=np.uint64)
+#: Longer lists have a quicker forest. It only saves comparisons: what it misses, unlinked() finds.
 MOST_EXACT = 6000
+#: Rows of either side that one task compares.
+BLOCK = 2000
 #: A pair at ALIKE differs in at most this share of its two sizes. Parities of hash buckets (MOST_BITS at most) differ
 #: in no more places than the sets do, which rules pairs out for certain.
 APART, LEAST_BITS, MOST_BITS = (1 - ALIKE) / (1 + ALIKE) + 1e-9, 64, 4096
@@ -227,7 +230,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 def spanning(fps: np.ndarray) -> list[tuple[int, int]]:
     """fps: (n, WIDE). A least spanning forest by differing bits, without edges of over FAR bits: the path in it
-    between two fingerprints has no step longer than their distance. Longer lists go to the nearest of leaders."""
+    between two fingerprints has no step longer than their distance. Longer lists go to the nearest of leaders, and may miss edges."""
     n, out = len(fps), []
     if n <= MOST_EXACT:
         left = np.arange(1, n)
@@ -307,8 +310,7 @@ def unlinked(lists: DataFrame, roots: DataFrame, made: DataFrame) -> DataFrame:
     sizes = placed.groupBy("band", "key", "root").agg(F.count("*").alias("n")).groupBy("band", "key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top")).filter("n > top.n")
     sizes = stored(sizes.select("band", "key", "n", F.col("top.root").alias("top"), (F.col("n") - F.col("top.n")).alias("rest")), "sizes")
     mixed = placed.join(sizes, ["band", "key"]).withColumn("few", F.col("root") != F.col("top"))
-    told = dealt(mixed).join(made.select("row", "size", "odd"), "row")
-    told = told.repartition(parts, "band", "key", "s", "t").sortWithinPartitions("band", "key", "s", "t")
+    told = dealt(mixed.join(made.select("row", "size", "odd"), "row")).repartition(parts, "band", "key", "s", "t").sortWithinPartitions("band", "key", "s", "t")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
@@ -369,9 +371,15 @@ def unlinked(lists: DataFrame, roots: DataFrame, made: DataFrame) -> DataFrame:
 
 
 def dealt(mixed: DataFrame) -> DataFrame:
-    """s, t: the task of a list's rows; side 0 (rows outside the largest component) is compared with side 1 (all)."""
-    sides = F.filter(F.array(F.when(F.col("few"), F.lit(0)), F.lit(1)), lambda x: x.isNotNull())
-    return mixed.select("band", "key", "row", "root", "few", F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("t"), F.explode(sides).alias("side"))
+    """s, t: the tasks of a list's rows, where blocks of `BLOCK` rows meet. Side 0 (rows outside the largest component,
+    `rest` in number) is compared with side 1 (all n rows): each block of one with each block of the other."""
+    count = lambda c: F.ceil(F.col(c) / F.lit(BLOCK)).cast("long")
+    block = lambda c, salt: F.pmod(F.xxhash64("row", F.lit(salt)), count(c))
+    place = lambda s, t, side: F.struct(s.alias("s"), t.alias("t"), F.lit(side).alias("side"))
+    each = lambda c: F.sequence(F.lit(0).cast("long"), count(c) - 1)
+    left = F.transform(F.when(F.col("few"), each("n")).otherwise(F.array().cast("array<long>")), lambda t: place(block("rest", 1), t, 0))
+    right = F.transform(each("rest"), lambda s: place(s, block("n", 2), 1))
+    return mixed.withColumn("at", F.explode(F.concat(left, right))).select("band", "key", "row", "root", "few", "size", "odd", "at.*")
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
