@@ -225,7 +225,7 @@ def _(s, d):
 @add("batch_delete", f"SELECT * FROM ({live_sql()}) WHERE user_id % 2 <> 0")
 def _(s, d):
     top = log(s, d)
-    dead = s.range(0, 100000, 2).select(F.col("id").alias("user_id"), F.lit(2**40).alias(resolve.SEQ), F.lit(True).alias(resolve.TOMB), F.lit(0).cast("long").alias(resolve.ORD), F.lit(None).cast("timestamp").alias(resolve.DELETED_AT), F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("double").alias("value"))
+    dead = top.filter("user_id % 2 = 0").select("user_id").distinct().select("user_id", F.lit(2**40).alias(resolve.SEQ), F.lit(True).alias(resolve.TOMB), F.lit(0).cast("long").alias(resolve.ORD), F.lit(None).cast("timestamp").alias(resolve.DELETED_AT), F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("double").alias("value"))
     return resolve.live(top.unionByName(dead), "user_id").selectExpr(*OUT)
 
 
