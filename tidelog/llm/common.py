@@ -55,6 +55,36 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of a batch between Spark and Python, where the session has Spark's own 64 MB.
+BATCH_BYTES = 4 << 20
+
+
+def mapped(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow in little memory: batches have some BATCH_BYTES however long their rows are (one row at least), and
+    a worker that waits for its next task holds no memory of the last one."""
+    key, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
+    if str(spark.conf.get(key)).rstrip("b") == str(64 << 20):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(whole, schema)
+
+
+def _give_back() -> None:
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def by_group(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], least: int) -> Iterator[pa.Table]:
     """Sorted batches as tables of `least` rows or more that never part the rows of a key."""
     held: list[pa.RecordBatch] = []

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import by_group, forget, stored, table, text_of
+from tidelog.llm.common import by_group, forget, mapped, stored, table, text_of
 
 SIZE, GRAM, HOT, CHUNK = 400, 128, 5000, 4000
 #: Anchors of one gram that make it hot, and the part of the anchors that is looked at for that.
@@ -339,7 +339,7 @@ def repeated(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("h"), text_of().alias("text"))
-    scan = stored(base.mapInArrow(partial(_scan, size=size, gram=gram), ROW), "anchors")
+    scan = stored(base.transform(mapped, partial(_scan, size=size, gram=gram), ROW), "anchors")
     runs = scan.filter("kind = 1")
     hot = runs.select("g").sample(1 / LOOK, 1).groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") >= max(2, HOT_ROWS // LOOK)).select(F.col("g").alias("_g"))
     hot = stored(hot, "hot")
@@ -348,17 +348,17 @@ def repeated(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     else:
         runs = runs.withColumn("hot", F.lit(False)).withColumn("salt", F.lit(0).cast("long"))
     grams = runs.repartition(parts, "g", "salt").sortWithinPartitions("g", "salt", "c1", "c2")
-    matched = stored(grams.mapInArrow(_match(size), ROW), "matched")
+    matched = stored(grams.transform(mapped, _match(size), ROW), "matched")
     entry = F.struct("a", "lo", "hi", "settled")
     per = matched.filter("kind = 1").groupBy("doc_id", "h").agg(F.collect_list(entry).alias("entries")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "entries")
     same = F.col("h").eqNullSafe(F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id"))
     opened = base.join(per.hint("shuffle_merge"), same).select("doc_id", "h", "text", "entries")
-    spans = stored(opened.mapInArrow(partial(_spans, size=size, gram=gram), SPAN), "spans")
+    spans = stored(opened.transform(mapped, partial(_spans, size=size, gram=gram), SPAN), "spans")
     counts = spans.groupBy(F.xxhash64("gram").alias("_g")).agg(F.count("*").alias("c")).filter(F.col("c") > HOT)
     spread = spans.join(counts, F.xxhash64("gram") == F.col("_g"), "left").withColumn("salt", F.when(F.col("c").isNotNull(), F.pmod(F.xxhash64("doc_id", "lo"), F.ceil(F.col("c") / HOT))).otherwise(F.lit(0).cast("long"))).withColumn("hot", F.col("c").isNotNull())
     ordered = spread.repartitionByRange(parts, "gram", "salt").sortWithinPartitions("gram", "salt").select(*[x.split()[0] for x in SPAN.split(", ")], "hot", "salt")
-    found = stored(ordered.mapInArrow(_sorter(parts, size), OUT), "found")
-    across = found.filter("kind = 2").select("part", "blob").repartition(parts, "part").mapInArrow(partial(_compare, length=size), OUT)
+    found = stored(ordered.transform(mapped, _sorter(parts, size), OUT), "found")
+    across = found.filter("kind = 2").select("part", "blob").repartition(parts, "part").transform(mapped, partial(_compare, length=size), OUT)
     every = scan.filter("kind = 0").select("doc_id", "h", "lo", "hi").unionAll(matched.filter("kind = 0").select("doc_id", "h", "lo", "hi")).unionAll(found.filter("kind = 0").unionAll(across).select("doc_id", "h", "lo", "hi"))
     out = stored(every.groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "repeats")
     forget(scan, hot, matched, spans, found)
@@ -373,7 +373,7 @@ def cut(docs: DataFrame, doc, size: int = SIZE, gram: int = GRAM, keep: bool = F
     on = F.col("_text_h").eqNullSafe(F.col("_h")) & F.col("_doc_id").eqNullSafe(F.col("_id"))
     both = whole.join(spans.hint("shuffle_merge"), on, "left").select("doc", "_text", "spans")
     kind = both.schema["doc"].dataType.simpleString()
-    return both.mapInArrow(_cut(keep), f"doc {kind}, " + ("n_spans long, text string" if keep else "n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    return both.transform(mapped, _cut(keep), f"doc {kind}, " + ("n_spans long, text string" if keep else "n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
 def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import table, text_of
+from tidelog.llm.common import mapped, table, text_of
 
 LEAST, NORMAL, MOST = 24, 64, 256
 STRICT, LOOSE = np.uint64(0xFE << 56), np.uint64(0xF0 << 56)
@@ -110,7 +110,7 @@ def with_next(docs: DataFrame) -> DataFrame:
                 best[k] = max(best.get(k, v), v)
         yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int64()), pa.array(list(best.values()), pa.int64())], ["b", "top"])
 
-    top = sorted(tuple(r) for r in base.select(key.alias("k")).mapInArrow(tops, "b long, top long").groupBy("b").agg(F.max("top").alias("top")).collect())  # one row per range
+    top = sorted(tuple(r) for r in base.select(key.alias("k")).transform(mapped, tops, "b long, top long").groupBy("b").agg(F.max("top").alias("top")).collect())  # one row per range
     ghosts = {t: top[i - 1][0] for i, (_, t) in enumerate(top)}  # the first of all follows the last
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +122,7 @@ def with_next(docs: DataFrame) -> DataFrame:
             take = b.take(pa.array(rows))
             yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(np.arange(len(rows)) >= len(ids)), *take.columns], ["bucket", "ghost", "doc_id", "text"])
 
-    dealt = base.mapInArrow(deal, "bucket long, ghost boolean, doc_id long, text string").repartitionByRange(n, "bucket")
+    dealt = base.transform(mapped, deal, "bucket long, ghost boolean, doc_id long, text string").repartitionByRange(n, "bucket")
     return dealt.sortWithinPartitions("bucket", "ghost", F.col("doc_id").desc_nulls_last(), "text")
 
 
@@ -147,7 +147,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 yield _batch(rows)
                 rows = []
 
-    return with_next(docs).mapInArrow(run, SCHEMA)
+    return with_next(docs).transform(mapped, run, SCHEMA)
 
 
 def _batch(rows):

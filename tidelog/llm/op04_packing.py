@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import bpe
-from tidelog.llm.common import stored, table, text_of
+from tidelog.llm.common import mapped, stored, table, text_of
 
 LENGTH, END_ID = 2048, 1
 #: One long per partition goes to the driver and back.
@@ -62,7 +62,7 @@ def tokenized(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
                     rows, size = [], 0
             yield out(rows)
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, TOKENIZED)
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).transform(mapped, run, TOKENIZED)
 
 
 def packed(tokens: DataFrame, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
@@ -95,7 +95,7 @@ def packed(tokens: DataFrame, length: int = LENGTH, with_ids: bool = False) -> D
             arrays = [pa.array(c, pa.int64()) for c in cols[:7]] + ([pa.array(cols[7], pa.list_(pa.int32()))] if with_ids else [])
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: len(arrays)])
 
-    return tokens.mapInArrow(run, schema)
+    return tokens.transform(mapped, run, schema)
 
 
 def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

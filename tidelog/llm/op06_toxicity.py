@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import bpe
-from tidelog.llm.common import forget, stored, table, text_of
+from tidelog.llm.common import forget, mapped, stored, table, text_of
 
 MAX_TRAIN, MAX_TOKENS, PRIOR, SHRINK, LEAST_Z, LEAST_DRIFT, CUT = 40_000, 50_000, 500.0, 1.0, 4.0, 0.02, 0.3
 PREFIXES = range(3, 8)
@@ -166,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             f = features(b.column(0), listed, drift)
             yield pa.RecordBatch.from_arrays([*(pa.array(f[:, i]) for i in range(3)), b.column(1)], ["a", "b", "c", "y"])
 
-    got = rows.select("text", "toxic").mapInArrow(run, "a double, b double, c double, y int").toPandas().to_numpy(dtype=float)
+    got = rows.select("text", "toxic").transform(mapped, run, "a double, b double, c double, y int").toPandas().to_numpy(dtype=float)
     return Model(listed, drift, fit(got[:, :3], got[:, 3]))
 
 
@@ -179,7 +179,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= CUT).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.transform(mapped, run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def filter_toxic(docs: DataFrame, model: Model) -> DataFrame:
@@ -190,7 +190,7 @@ def filter_toxic(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(sent.value.score(b.column(at).fill_null("")) < CUT))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(mapped, run, docs.schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

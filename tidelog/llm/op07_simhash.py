@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import by_group, forget, stored, table, text_of
+from tidelog.llm.common import by_group, forget, mapped, stored, table, text_of
 from tidelog.llm.graph import components
 
 BITS, SPLIT = 3, 20_000
@@ -61,7 +61,7 @@ def fingerprinted(docs: DataFrame, width: int = 3) -> DataFrame:
             fp = np.array([simhash(t.as_py(), width) for t in b.column(1)], dtype=U)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).transform(mapped, run, "doc_id long, fp long")
 
 
 def family(size: int) -> list[tuple[int, ...]]:
@@ -158,7 +158,7 @@ def links(reps: DataFrame, n: int) -> DataFrame:
         if out := done(last, fps, reps):
             yield _edges(out)
 
-    return rows.repartition("s", "k").sortWithinPartitions("s", "k").mapInArrow(run, "u long, v long")
+    return rows.repartition("s", "k").sortWithinPartitions("s", "k").transform(mapped, run, "u long, v long")
 
 
 def _edges(out):
@@ -337,7 +337,7 @@ def unlinked(lists: DataFrame, roots: DataFrame, made: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema=kept)
 
     kept = pa.schema([("band", pa.int32()), ("key", pa.int64()), ("s", pa.int64()), ("t", pa.int64()), ("row", pa.int64()), ("root", pa.int64()), ("few", pa.bool_()), ("side", pa.int32())])
-    open_ = stored(told.mapInArrow(search, "band int, key long, s long, t long, row long, root long, few boolean, side int"), "open")
+    open_ = stored(told.transform(mapped, search, "band int, key long, s long, t long, row long, root long, few boolean, side int"), "open")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
@@ -365,7 +365,7 @@ def unlinked(lists: DataFrame, roots: DataFrame, made: DataFrame) -> DataFrame:
             yield _edges(out)
 
     whole = open_.join(made.select("row", "hashes"), "row").repartition(parts, "band", "key", "s", "t").sortWithinPartitions("band", "key", "s", "t")
-    out = stored(whole.mapInArrow(verify, "u long, v long").distinct(), "links")
+    out = stored(whole.transform(mapped, verify, "u long, v long").distinct(), "links")
     forget(placed, sizes, open_)
     return out
 
@@ -417,7 +417,7 @@ def filter_near(docs: DataFrame) -> DataFrame:
 
     whole = docs.select(F.struct("*").alias("doc"), text_of().alias("text"))
     kind = whole.schema["doc"].dataType.simpleString()
-    made = stored(whole.mapInArrow(run, f"doc {kind}, row long, s1 long, s2 long, fp binary, keys array<long>, hashes binary, size int, odd binary"), "near")
+    made = stored(whole.transform(mapped, run, f"doc {kind}, row long, s1 long, s2 long, fp binary, keys array<long>, hashes binary, size int, odd binary"), "near")
     rank = F.struct(F.col("doc.doc_id").isNull().alias("null_id"), F.col("doc.doc_id").alias("id"), F.col("row").alias("row"))
     # copies: one row of each set goes on
     sets = made.select("s1", "s2", rank.alias("k")).groupBy("s1", "s2").agg(F.min("k").alias("k"))
@@ -451,7 +451,7 @@ def filter_near(docs: DataFrame) -> DataFrame:
             yield batch(out)
 
     # lists of two rows or more: the rows, and the forest's edges
-    found = stored(rows.repartition(parts, "band", "key").sortWithinPartitions("band", "key", "row").mapInArrow(forests, "band int, key long, u long, v long"), "lists")
+    found = stored(rows.repartition(parts, "band", "key").sortWithinPartitions("band", "key", "row").transform(mapped, forests, "band int, key long, u long, v long"), "lists")
     forget(reps)
     near = found.filter("v IS NOT NULL").select("u", "v").distinct()
 
@@ -462,7 +462,7 @@ def filter_near(docs: DataFrame) -> DataFrame:
 
     whole_sets = made.select(F.col("row").alias("_r"), "hashes")
     pairs = near.join(whole_sets.withColumnsRenamed({"_r": "u", "hashes": "a"}), "u").join(whole_sets.withColumnsRenamed({"_r": "v", "hashes": "b"}), "v").select("u", "v", "a", "b")
-    roots = components(pairs.mapInArrow(verify, "u long, v long"))
+    roots = components(pairs.transform(mapped, verify, "u long, v long"))
     # pairs of 0.8 that no path of such edges joins yet
     more = unlinked(found.filter("v IS NULL").select("band", "key", F.col("u").alias("row")), roots, made)
     if not more.isEmpty():

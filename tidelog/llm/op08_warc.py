@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import fresh, open_fs, stored, table
+from tidelog.llm.common import fresh, mapped, open_fs, stored, table
 
 BLOCK_LINES, LEAST_BYTES = 1000, 0
 MAX_DIRECTORY = 5_000_000  # blocks whose first keys a look-up may hold
@@ -119,7 +119,7 @@ def write(pages: DataFrame, least: int = LEAST_BYTES) -> Archive:
             if out:
                 out.close()
 
-    captures = stored(planned(pages, least).mapInArrow(run, CAPTURE), "captures")
+    captures = stored(planned(pages, least).transform(mapped, run, CAPTURE), "captures")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_fs(root)
@@ -149,7 +149,7 @@ def write(pages: DataFrame, least: int = LEAST_BYTES) -> Archive:
 
     # the row's place breaks ties: a hot host is cut by its paths, and a hot url by its records
     ordered = captures.repartitionByRange("key", "file", "at").sortWithinPartitions("key", "file", "at")
-    directory = stored(ordered.mapInArrow(blocks, "first_key string, file string, at long, size long, lines long"), "directory")
+    directory = stored(ordered.transform(mapped, blocks, "first_key string, file string, at long, size long, lines long"), "directory")
     return Archive(root, captures, directory)
 
 
@@ -170,7 +170,7 @@ def read_all(archive: Archive) -> DataFrame:
                 lines = [json.loads(x) for x in zlib.decompress(next(_ranges(fs, base, file, [(at, size)]))).decode().split("\n")]
                 yield _capture_batch(lines)
 
-    listed = archive.directory.select("file", "at", "size").repartition(F.col("file")).mapInArrow(run, CAPTURE)
+    listed = archive.directory.select("file", "at", "size").repartition(F.col("file")).transform(mapped, run, CAPTURE)
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_fs(root)
@@ -185,7 +185,7 @@ def read_all(archive: Archive) -> DataFrame:
 
     # each archive's records together and in order: a task reads its files from front to back
     spread = listed.repartition(F.col("file"), F.floor(F.col("at") / (64 << 20))).sortWithinPartitions("file", "at")
-    return spread.mapInArrow(records, "page_id long, bytes long, digest string, kind string, refers_to long, url string")
+    return spread.transform(mapped, records, "page_id long, bytes long, digest string, kind string, refers_to long, url string")
 
 
 def look_up(archive: Archive, urls: list[str]) -> list[dict]:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import bpe
-from tidelog.llm.common import table, text_of
+from tidelog.llm.common import mapped, table, text_of
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -37,7 +37,7 @@ def round_trip(docs: DataFrame, path: str | None = None, keep_text: bool = False
             arrays = [b.column(0), pa.array(n, pa.int64()), digest(ids), digest(decoded), *([ids.cast(pa.string()), decoded.cast(pa.string())] if keep_text else [])]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(arrays)])
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids string, decoded string" if keep_text else ""))
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).transform(mapped, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids string, decoded string" if keep_text else ""))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
