@@ -67,6 +67,38 @@ def test_filter_keeps_columns(spark):
     assert cut and all(r.n_chars == len(r.text) for r in cut)
 
 
+def test_sums_that_collide_are_no_repeats(spark, tmp_path):
+    """Blocks in Thue-Morse order and its complement, after 200 common bytes: polynomial sums modulo 2**64 are equal."""
+    c = "flint thorn larch inlet larch jetty grove ember amber heath basin delta ridge notch plume larch thorn inlet heath orbit stone delta cedar basin jetty flint orbit basin marsh plume delta larch knoll am"
+    odd = [bin(i).count("1") % 2 for i in range(64)]
+    docs = [(1, c + "".join("1kjC" if t else "Dz0s" for t in odd)), (2, c + "".join("Dz0s" if t else "1kjC" for t in odd))]
+    got = run(spark, table_at(spark, tmp_path, documents=spark.createDataFrame(docs, "doc_id long, text string")))
+    assert [(r.n_bytes, r.n_removed) for r in got] == [(456, 0), (456, 0)]
+    check(got, docs)
+
+
+def test_long_texts_are_cut_into_segments(spark, tmp_path, monkeypatch):
+    import random
+
+    monkeypatch.setattr(op, "SEGMENT", 300)
+    rng = random.Random(4)
+    p = prose(rng, 300, 9999)
+    docs = [(0, p + " a " + prose(rng, 50, 9999)), (1, prose(rng, 77, 9999) + " " + p[100:]), (2, "x" * 1500), (3, p[:399]), (4, "b" + p[7:450])]
+    check(run(spark, table_at(spark, tmp_path, documents=spark.createDataFrame(docs, "doc_id long, text string"))), docs)
+
+
+def test_passages_of_over_fifty_words(spark, tmp_path):
+    import random
+
+    rng = random.Random(9)
+    short, few = " ".join(f"{a:04d}" for a in range(100, 155)), "w" * 90 + " " + "v" * 160
+    assert len(short) < 400 and len(few) >= 200
+    docs = [(0, prose(rng, 40, 9999) + " " + short + " " + prose(rng, 40, 9999)), (1, short), (2, prose(rng, 60, 9999)), (3, few + " " + prose(rng, 60, 9999)), (4, "z " + few), (5, None)]
+    got = {r.doc_id: r for r in op.op1_suffixes(spark, table_at(spark, tmp_path, documents=spark.createDataFrame(docs, "doc_id long, text string"))).collect()}
+    assert {i: r.n_passages for i, r in got.items()} == {0: 1, 1: 1, 2: 0, 3: 0, 4: 0, 5: 0}
+    assert not any(r.n_removed for r in got.values())
+
+
 def test_bad_sizes(spark):
     with pytest.raises(ValueError):
         op.repeated(spark.createDataFrame([], DOCS), size=401)

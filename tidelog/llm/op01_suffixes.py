@@ -5,11 +5,11 @@ places. In each window of SIZE bytes an anchor is chosen by content: the leftmos
 the least hash. Equal windows have equal anchors at equal offsets, so only suffixes at anchors, about one in 137,
 need to be looked at, each with the run of windows that chose it.
 
-1. Anchors, per document: hash of the gram, fingerprint (128 bits) of all that the run's windows cover. Within a
-   batch, runs with equal fingerprints are settled (repeated) at once, and one of them goes on.
-2. By gram hash: runs of unique grams go; runs with equal fingerprints are settled; what has a gram in common
-   but not the whole is open. Grams with HOT_ROWS anchors or so (by a sample of the anchors) are dealt out by
-   fingerprint as well, and all that is left of them is open.
+1. Anchors, per document: hash of the gram, digest (128 bits of BLAKE2b) of all bytes that the run's windows cover.
+   Within a batch, runs with equal digests are settled (repeated) at once, and one of them goes on.
+2. By gram hash: runs of unique grams go; runs with equal digests are settled, so that copies are not sorted again
+   and again; what has a gram in common but not the whole is open. Grams with HOT_ROWS anchors or so (by a sample
+   of the anchors) are dealt out by digest as well, and all that is left of them is open.
 3. Open runs get their bytes. Their suffixes are partitioned by range of their leading bytes (splitters are
    sampled) and sorted in their buckets by multikey quicksort, 8 bytes to a character: a group's suffixes stay
    together as long as their characters agree, and those that agree on all SIZE bytes are repeated.
@@ -17,11 +17,13 @@ need to be looked at, each with the run of windows that chose it.
    windows, packed by digest, and windows that two buckets announce are repeated, too.
 5. Repeated intervals are united by document and cut from its bytes.
 
-Shuffled are anchors (about 0.3 bytes per byte of text), texts twice (for the open runs' bytes and for the cut),
+Shuffled are anchors (about 0.4 bytes per byte of text), texts twice (for the open runs' bytes and for the cut),
 and bytes of open runs. Stored tables go as soon as the next one is written.
 
 Defined results: null text is empty; texts below SIZE bytes lose nothing; repeated rows are copies of each other,
-and lose all if they have SIZE bytes; a null doc_id is an id like others; an empty table gives an empty result.
+and lose all if they have SIZE bytes; of equal strings (ties) all go, the first as well; a null doc_id is an id like
+others; nulls in other columns and extra columns of any name change nothing; texts of any length are looked at
+whole, SEGMENT windows at a time; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,21 +40,25 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import by_group, forget, mapped, stored, table, text_of
 
 SIZE, GRAM, HOT, CHUNK = 400, 128, 5000, 4000
+#: Passages of over 50 words may have fewer bytes than SIZE; short words, 200.
+PASSAGE, PASSAGE_GRAM, PASSAGE_WORDS = 200, 64, 50
 #: Anchors of one gram that make it hot, and the part of the anchors that is looked at for that.
 HOT_ROWS, LOOK, MATCH_CHUNK, MAX_SENT = 64_000, 64, 200_000, 100_000
+#: Windows of a text that are looked at in one go, for memory.
+SEGMENT = 1 << 19
 U = np.uint64
 _RNG = np.random.default_rng(20240101)
-_BYTES = _RNG.integers(1, 1 << 63, size=(2, 256), dtype=np.uint64) * U(2) + U(1)
-_BASE = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
+_BYTES = _RNG.integers(1, 1 << 63, size=256, dtype=np.uint64) * U(2) + U(1)
+_BASE = 0x9E3779B97F4A7C15
 _POW: list[np.ndarray] = []
 
 
 def _powers(n: int) -> list[np.ndarray]:
-    """Powers of both bases and of their inverses modulo 2**64."""
+    """Powers of the base and of its inverse modulo 2**64."""
     if not _POW or len(_POW[0]) < n:
-        n = max(1 << 16, 2 * n)
+        n = max(1 << 16, n)
         _POW.clear()
-        for b in (*_BASE, *(pow(b, -1, 1 << 64) for b in _BASE)):
+        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
             p = np.full(n, b, dtype=U)
             p[0] = 1
             _POW.append(np.multiply.accumulate(p))
@@ -66,16 +72,27 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def anchors(data: bytes, size: int = SIZE, gram: int = GRAM):
-    """(place of the anchor, first and last window that chose it, gram hash, two halves of the fingerprint)."""
-    n = len(data)
-    if n < size:
+    """(place of the anchor, first and last window that chose it, gram hash, two halves of the digest). Gram hashes
+    only choose anchors and bring runs together; what is equal is said by the digest of the run's bytes and of the
+    anchor's place in them (128 bits of BLAKE2b)."""
+    got = [_anchors(data[k : k + SEGMENT + size - 1], size, gram, k) for k in range(0, len(data) - size + 1, SEGMENT)]
+    if not got:
         return None
+    a, lo, hi, g = (np.concatenate(x) for x in zip(*got, strict=True))
+    digest = hashlib.blake2b
+    both = b"".join([digest(data[x : y + size], digest_size=16, salt=(p - x).to_bytes(8, "little")).digest() for p, x, y in zip(a.tolist(), lo.tolist(), hi.tolist(), strict=True)])
+    c = np.frombuffer(both, dtype="<u8").reshape(-1, 2)
+    return a, lo, hi, g, c[:, 0].copy(), c[:, 1].copy()
+
+
+def _anchors(data: bytes, size: int, gram: int, base: int):
+    """Of the windows that start in a segment of a text, which begins at base."""
+    n = len(data)
     b = np.frombuffer(data, dtype=np.uint8)
-    p1, p2, i1, i2 = _powers(n + 1)
-    s1, s2 = np.zeros(n + 1, dtype=U), np.zeros(n + 1, dtype=U)
-    np.cumsum(_BYTES[0][b] * p1[:n], out=s1[1:])
-    np.cumsum(_BYTES[1][b] * p2[:n], out=s2[1:])
-    g = _mixed((s1[gram:] - s1[:-gram]) * i1[: n - gram + 1])
+    p, inverse = _powers(n + 1)
+    s = np.zeros(n + 1, dtype=U)
+    np.cumsum(_BYTES[b] * p[:n], out=s[1:])
+    g = _mixed((s[gram:] - s[:-gram]) * inverse[: n - gram + 1])
     key = (g & U(0xFFFFFFFF00000000)) | np.arange(len(g), dtype=U)
     w = size - gram + 1  # least of each w keys in a row, by blocks
     m = -(-len(key) // w) * w
@@ -88,9 +105,8 @@ def anchors(data: bytes, size: int = SIZE, gram: int = GRAM):
     at = (np.minimum(behind[:count], ahead[w - 1 : w - 1 + count]) & U(0xFFFFFFFF)).astype(np.int64)
     lo = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
     hi = np.concatenate([lo[1:] - 1, [count - 1]])
-    a, end = at[lo], hi + size
-    shape = (a - lo).astype(U) << U(32) | (hi - lo).astype(U)
-    return a, lo, hi, g[a], _mixed((s1[end] - s1[lo]) * i1[lo] ^ _mixed(shape)), _mixed((s2[end] - s2[lo]) * i2[lo] + shape)
+    a = at[lo]
+    return a + base, lo + base, hi + base, g[a]
 
 
 def united(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -301,35 +317,52 @@ def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
     yield _found(pa.array(o[:, 1], pa.int64(), mask=o[:, 0] == 0), np.ascontiguousarray(o[:, 2]), v["s"].astype(np.int64), v["s"].astype(np.int64) + length)
 
 
-def _cut(keep: bool):
-    """Step 5. In: a struct that goes through, text, spans (lo, hi) or null."""
+def _runs(data: bytes, spans: pa.Scalar, words: int = 0) -> list[tuple[int, int]]:
+    """Maximal runs of bytes that the intervals cover, those of over `words` words."""
+    if not spans.is_valid or not len(spans):
+        return []
+    lo, hi = united(spans.values.field("lo").to_numpy(), spans.values.field("hi").to_numpy())
+    return [(x, y) for x, y in zip(lo.tolist(), hi.tolist(), strict=True) if not words or len(data[x:y].split()) > words]
+
+
+def _without(data: bytes, runs: list[tuple[int, int]]) -> bytes:
+    parts, at = [], 0
+    for x, y in runs:
+        parts.append(data[at:x])
+        at = y
+    return b"".join([*parts, data[at:]])
+
+
+def _cut(words: int):
+    """Step 5. In: a struct that goes through, text, spans (lo, hi) or null. Out: beside the struct, the number of runs,
+    and what is left of the text (null where nothing is cut)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            n, rest = [], []
             for t, spans in zip(b.column(1), b.column(2), strict=True):
-                data = t.as_py().encode()
-                n, rest = 0, data
-                if spans.is_valid and len(spans):
-                    iv = spans.values
-                    lo, hi = united(iv.field("lo").to_numpy(), iv.field("hi").to_numpy())
-                    n, parts, at = len(lo), [], 0
-                    for x, y in zip(lo.tolist(), hi.tolist(), strict=True):
-                        parts.append(data[at:x])
-                        at = y
-                    rest = b"".join([*parts, data[at:]])
-                if keep:
-                    rows.append((n, rest.decode(errors="ignore") if n else None))
-                else:
-                    rows.append((len(data), len(data) - len(rest), n, hashlib.sha256(rest).hexdigest()))
-            kinds = (pa.int64(), pa.string()) if keep else (pa.int64(), pa.int64(), pa.int64(), pa.string())
-            names = ["n_spans", "text"] if keep else ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc", *names])
+                runs = _runs(data := t.as_py().encode(), spans, words)
+                n.append(len(runs))
+                rest.append(_without(data, runs).decode(errors="ignore") if runs else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(rest, pa.string())], ["doc", "n_spans", "text"])
 
     return run
 
 
+REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long"
+
+
+def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In: doc_id, text, spans, passages."""
+    for b in batches:
+        rows = []
+        for t, spans, passages in zip(b.column(1), b.column(2), b.column(3), strict=True):
+            rest = _without(data := t.as_py().encode(), runs := _runs(data, spans))
+            rows.append((len(data), len(data) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), len(_runs(data, passages, PASSAGE_WORDS))))
+        cols = list(zip(*rows, strict=True)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.string() if i == 3 else pa.int64()) for i, c in enumerate(cols))], [x.split()[0] for x in REPORT.split(", ")])
+
+
 def repeated(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """docs: doc_id, text. (doc_id, h, spans): the intervals of bytes (lo, hi), overlapping, that repeated strings of
     `size` bytes cover; a row for each doc_id and text (h: xxhash64 of the text) that has any. size: a multiple
@@ -354,37 +387,47 @@ def repeated(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     same = F.col("h").eqNullSafe(F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id"))
     opened = base.join(per.hint("shuffle_merge"), same).select("doc_id", "h", "text", "entries")
     spans = stored(opened.transform(mapped, partial(_spans, size=size, gram=gram), SPAN), "spans")
-    counts = spans.groupBy(F.xxhash64("gram").alias("_g")).agg(F.count("*").alias("c")).filter(F.col("c") > HOT)
-    spread = spans.join(counts, F.xxhash64("gram") == F.col("_g"), "left").withColumn("salt", F.when(F.col("c").isNotNull(), F.pmod(F.xxhash64("doc_id", "lo"), F.ceil(F.col("c") / HOT))).otherwise(F.lit(0).cast("long"))).withColumn("hot", F.col("c").isNotNull())
+    counts = stored(spans.groupBy(F.xxhash64("gram").alias("_g")).agg(F.count("*").alias("c")).filter(F.col("c") > HOT), "counts")
+    if n := counts.count():
+        spread = spans.join(F.broadcast(counts) if n <= MAX_SENT else counts, F.xxhash64("gram") == F.col("_g"), "left")
+        spread = spread.withColumn("salt", F.when(F.col("c").isNotNull(), F.pmod(F.xxhash64("doc_id", "lo"), F.ceil(F.col("c") / HOT))).otherwise(F.lit(0).cast("long"))).withColumn("hot", F.col("c").isNotNull())
+    else:
+        spread = spans.withColumn("salt", F.lit(0).cast("long")).withColumn("hot", F.lit(False))
     ordered = spread.repartitionByRange(parts, "gram", "salt").sortWithinPartitions("gram", "salt").select(*[x.split()[0] for x in SPAN.split(", ")], "hot", "salt")
     found = stored(ordered.transform(mapped, _sorter(parts, size), OUT), "found")
     across = found.filter("kind = 2").select("part", "blob").repartition(parts, "part").transform(mapped, partial(_compare, length=size), OUT)
     every = scan.filter("kind = 0").select("doc_id", "h", "lo", "hi").unionAll(matched.filter("kind = 0").select("doc_id", "h", "lo", "hi")).unionAll(found.filter("kind = 0").unionAll(across).select("doc_id", "h", "lo", "hi"))
     out = stored(every.groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "repeats")
-    forget(scan, hot, matched, spans, found)
+    forget(scan, hot, matched, spans, counts, found)
     return out
 
 
-def cut(docs: DataFrame, doc, size: int = SIZE, gram: int = GRAM, keep: bool = False) -> DataFrame:
-    """doc: a struct of docs' columns that goes through. Beside it, the text's counts and digest, or with keep the
-    number of intervals and what is left of the text (null where nothing is cut)."""
-    spans = repeated(docs, size, gram).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "spans")
+def with_spans(docs: DataFrame, doc, spans: DataFrame) -> DataFrame:
+    """doc: a column of docs that goes through. Beside it _text (null: empty) and the columns of spans, joined by doc_id
+    and the hash of the text."""
+    spans = spans.withColumnsRenamed({"doc_id": "_id", "h": "_h"})
     whole = docs.select(doc.alias("doc"), F.col("doc_id").cast("long").alias("_doc_id"), F.xxhash64(text_of()).alias("_text_h"), text_of().alias("_text"))
     on = F.col("_text_h").eqNullSafe(F.col("_h")) & F.col("_doc_id").eqNullSafe(F.col("_id"))
-    both = whole.join(spans.hint("shuffle_merge"), on, "left").select("doc", "_text", "spans")
-    kind = both.schema["doc"].dataType.simpleString()
-    return both.transform(mapped, _cut(keep), f"doc {kind}, " + ("n_spans long, text string" if keep else "n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    return whole.join(spans.hint("shuffle_merge"), on, "left").drop("_doc_id", "_text_h", "_id", "_h")
 
 
 def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = cut(table(spark, sf_dir, "documents"), F.struct("doc_id"))
-    return out.select("doc.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-
-
-def filter_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """docs with repeated passages cut from text, n_chars of cut texts made to fit; what is left of a cut
-    character's bytes goes. All other columns stay."""
-    out, is_cut = cut(docs, F.struct("*"), size, gram, True), F.col("n_spans") > 0
+    """Strings of SIZE bytes as the contract has them; besides, n_passages: maximal runs of over PASSAGE_WORDS words
+    that are covered by strings of PASSAGE bytes which start elsewhere, too."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    none = F.lit(None).cast("array<struct<lo:long,hi:long>>")
+    # texts meet both sets of intervals in one join
+    either = repeated(docs).withColumn("passages", none).unionByName(repeated(docs, PASSAGE, PASSAGE_GRAM).select("doc_id", "h", none.alias("spans"), F.col("spans").alias("passages")))
+    both = either.groupBy("doc_id", "h").agg(F.first("spans", True).alias("spans"), F.first("passages", True).alias("passages"))
+    rows = with_spans(docs, F.col("doc_id").cast("long"), both).select("doc", "_text", "spans", "passages")
+    return rows.transform(mapped, _report, REPORT)
+
+
+def filter_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, words: int = 0) -> DataFrame:
+    """docs with repeated passages (of over `words` words) cut from text, n_chars of cut texts made to fit; what is left
+    of a cut character's bytes goes. All other columns stay."""
+    rows = with_spans(docs, F.struct("*"), repeated(docs, size, gram)).select("doc", "_text", "spans")
+    out, is_cut = rows.transform(mapped, _cut(words), f"doc {rows.schema['doc'].dataType.simpleString()}, n_spans long, text string"), F.col("n_spans") > 0
     changed = {"text": F.when(is_cut, F.col("text")).otherwise(F.col("doc.text"))}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(is_cut, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))
