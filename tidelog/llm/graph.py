@@ -3,7 +3,8 @@
 Every round joins each node's edges to the least neighbour it has, first for larger neighbours, then for
 smaller ones; components shrink to stars around their least node in a few rounds. Each round is stored in
 the shared folder, so that lost executors cost one round at most. So are the least neighbours: a join of two
-plain tables is one that Spark splits by itself where a node has very many edges.
+plain tables is one that Spark splits by itself where a node has very many edges. A round has as many tasks as its
+edges need, a task for each EDGES of them.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import forget, stored
 
-MAX_ROUNDS = 60
+MAX_ROUNDS, EDGES, LEAST_TASKS = 60, 100_000, 12
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,14 +24,15 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not seen[0]:
             break
+        tasks = max(LEAST_TASKS, -(-seen[0] // EDGES))
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(tasks), "least")
         # large star: larger neighbours go to the least one
-        large = stored(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
+        large = stored(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct().coalesce(tasks), "large")
         # small star: smaller neighbours and the node itself go to the least one
-        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks), "low")
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").filter("u <> v").distinct()
-        before, e = e, stored(small, "edges")
+        before, e = e, stored(small.coalesce(tasks), "edges")
         forget(before, least, large, low)
         now = _mark(e)
         if now == seen:
