@@ -191,13 +191,13 @@ def test_hashes():
 def test_parity(spark):
     rng = random.Random(1)
     for k, m in ((4, 0), (4, 1), (4, 2), (6, 3)):
-        c, data = parity.coder(k, m), [rng.randbytes(64) for _ in range(k)]
+        c, data = parity.Coder(k, m), [rng.randbytes(64) for _ in range(k)]
         lanes = data + c.encode(data)
         for _ in range(5):
             lost = rng.sample(range(k + m), m)
             assert c.reconstruct([None if i in lost else x for i, x in enumerate(lanes)]) == lanes
     with pytest.raises(ValueError):
-        parity.coder(2, 1).reconstruct([None, None, b"a"])
+        parity.Coder(2, 1).reconstruct([None, None, b"a"])
     df = spark.createDataFrame([(s, i, bytearray(rng.randbytes(32))) for s in range(3) for i in range(4)], "stripe long, lane int, block binary")
     full = parity.encode_stripes(df, 4, 2)
     back = parity.recover_stripes(full.filter("lane not in (0, 3)"), 4, 2)
@@ -215,3 +215,85 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([("b", None, 5, None, True)], schema).coalesce(1).write.mode("append").parquet(str(src))
     run()
     assert {(r.id, r.name) for r in t.live().collect()} == {("a", "y")}
+
+
+def test_last_row_of_a_batch_without_an_order(spark, tmp_path):
+    t = Table.open(spark, str(tmp_path), USER)
+    t.put_all(spark.createDataFrame([("a", "x", 1, True), ("b", "x", 1, True), ("a", "y", 2, True)], USER.schema).coalesce(1))
+    assert t.get("a").name == "y" and t.get("b").name == "x"
+    t.apply_all(spark.createDataFrame([("a", "z", 3, True, True), ("a", "w", 4, True, False), ("b", "w", 4, True, False), ("b", None, None, None, True)], "id string, name string, age int, active boolean, gone boolean").coalesce(1), "gone")
+    assert t.get("a").name == "w" and t.get("b") is None
+
+
+def test_reads_survive_compaction_until_the_vacuum(spark, tmp_path):
+    t = users(spark, tmp_path)
+    before = t.live()
+    t.delete("u001")
+    t.compact(0)
+    assert before.count() == 3 and t.live().count() == 2
+    assert t.store.vacuum() == [] and len(t.store.state.retired) == 2
+    gone = t.store.vacuum(0)
+    assert len(gone) == 2 and not any(t.store.files.exists(r) for r in gone)
+    s = Table.open(spark, str(tmp_path), USER).store.state
+    assert not s.retired and s.deleted == set(gone)
+
+
+def test_acknowledged_batches_are_on_disk(spark, tmp_path):
+    t = Table.open(spark, str(tmp_path), USER, "ULTRA_FAST")
+    seq = t.put({"id": "a", "name": "x", "age": 1, "active": True})
+    other = Table.open(spark, str(tmp_path), USER, "ULTRA_FAST")  # the first writer is lost
+    assert other.get("a").name == "x" and other.last_seq() == seq
+    other.flush()
+    assert [e["level"] for e in other.store.state.live.values()] == [0] and other.get("a").name == "x"
+
+
+def test_many_upserts_have_small_plans(spark, tmp_path):
+    t, size = Table.open(spark, str(tmp_path), USER, "ULTRA_FAST"), []
+    for i in range(5):
+        assert t.upsert("u", {"age": F.col("age") + 1}).age == i + 1
+        size.append(len(t.live()._jdf.queryExecution().analyzed().toString()))
+    assert size[-1] < 1.2 * size[0]
+
+
+def test_resolution_has_one_exchange_and_an_early_limit(spark):
+    log = spark.createDataFrame([("a", 1, False, 1)], "k string, s long, t boolean, o long")
+    plan = resolve.live(log, "k", "s", "t", "o")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("WindowGroupLimit") == 2
+
+
+def test_truncate_rotation_and_parity_events(spark, tmp_path):
+    t = users(spark, tmp_path)
+    run = next(iter(t.store.state.live))
+    t.store.protect(run)
+    assert t.store.damaged(run).count() == 0
+    parts = [p for p in (tmp_path / "users" / run).iterdir() if p.name.endswith(".parquet")]
+    data = bytearray(parts[0].read_bytes())
+    data[10] ^= 255
+    parts[0].write_bytes(bytes(data))
+    (parts[0].parent / f".{parts[0].name}.crc").unlink(missing_ok=True)
+    (bad,) = t.store.damaged(run).collect()
+    assert bad.lane == 0 and bad.block[10] == data[10] ^ 255
+    t.truncate()
+    assert t.live().count() == 0 and run in t.store.state.retired
+    t.store.manifest.rotate(t.store.state)
+    again = Table.open(spark, str(tmp_path), USER)
+    assert set(again.store.state.retired) == {run} and set(again.store.state.striped) == {run} and again.last_seq() == 1
+
+
+def test_one_of_two_writers_wins_a_name(spark, tmp_path):
+    from tidelog.sources.fs import Files
+
+    f = Files(spark, f"file://{tmp_path}")
+    assert f.create("a", "1") and not f.create("a", "2") and f.read("a") == "1" and f.list("") == ["a"]
+
+
+def test_adapters_and_short_ids(spark):
+    codec.register("low", lambda x: x.lower().encode(), lambda b: b.decode())
+    kind = T.StructType([T.StructField("a", T.StringType(), False, {"adapter": "low"})])
+    assert codec.has_adapter("low") and not codec.has_adapter("high") and codec.deep_copy({"a": "Q"}, kind) == {"a": "q"}
+    assert codec.adapter_stats()["low"] == {"encoded": 1, "decoded": 1}
+    codec.clear_adapters()
+    assert not codec.adapter_stats()
+    rows = spark.createDataFrame([("AAAAAAAAAAAAAAAAAAAAAA",), ("AAAAAAAAAAAAAAAAAAAAAB",), ("short",), (None,)], "s string")
+    got = rows.select(codec.is_short_uuid(F.col("s")).alias("ok"), codec.short_uuid_be_decode(F.col("s")).alias("u")).collect()
+    assert [r.ok for r in got] == [True, False, False, False] and [r.u is None for r in got] == [False, True, True, True]

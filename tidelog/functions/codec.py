@@ -6,12 +6,16 @@ import datetime as dt
 import decimal
 import struct
 import uuid
+from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.pandas.types import to_arrow_type
 
 U = np.uint64
 
@@ -50,13 +54,25 @@ def short_uuid(u: Column) -> Column:
 
 def short_uuid_decode(s: Column) -> Column:
     """The inverse; null for anything that is not a valid short id."""
-    ok = s.rlike("^[A-Za-z0-9_-]{21}[AQgw]$")
-    h = F.lower(F.hex(F.unbase64(F.concat(F.translate(F.when(ok, s), "-_", "+/"), F.lit("==")))))
-    return F.regexp_replace(_flipped(h), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    return _dashed(_flipped(_short_hex(s)))
 
 
-def short_uuid_decode_or_null(s: Column) -> Column:
-    return short_uuid_decode(s)
+def is_short_uuid(s: Column) -> Column:
+    """22 signs of Base64-URL, the last with four zero bits; false for null."""
+    return F.coalesce(s.rlike("^[A-Za-z0-9_-]{21}[AQgw]$"), F.lit(False))
+
+
+def _short_hex(s: Column) -> Column:
+    return F.lower(F.hex(F.unbase64(F.concat(F.translate(F.when(is_short_uuid(s), s), "-_", "+/"), F.lit("==")))))
+
+
+def _dashed(h: Column) -> Column:
+    return F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+
+
+def short_uuid_be_decode(s: Column) -> Column:
+    """The inverse of short_uuid_be; null for anything that is not a valid short id."""
+    return _dashed(_short_hex(s))
 
 
 def short_uuid_be(u: Column) -> Column:
@@ -209,6 +225,7 @@ _FIXED = {T.ByteType: "<b", T.ShortType: "<h", T.IntegerType: "<i", T.LongType:
 _EPOCH = dt.date(1970, 1, 1)
 #: name -> (encode, decode) by a custom type's name; see register
 ADAPTERS: dict[str, tuple] = {}
+USES: Counter[tuple[str, str]] = Counter()
 
 
 def register(name: str, encode, decode) -> None:
@@ -222,6 +239,27 @@ def unregister(name: str) -> bool:
 
 def clear_adapters() -> None:
     ADAPTERS.clear()
+    USES.clear()
+
+
+def has_adapter(name: str) -> bool:
+    return name in ADAPTERS
+
+
+def adapter_stats() -> dict[str, dict[str, int]]:
+    """How often this process has encoded and decoded by each registered adapter."""
+    return {n: {"encoded": USES[n, "encoded"], "decoded": USES[n, "decoded"]} for n in sorted(ADAPTERS)}
+
+
+def pack(c: Column, kind: T.DataType) -> Column:
+    """A column's values by the row codec, in Arrow batches; null stays null."""
+    return arrow_udf(lambda a: pa.array([None if v is None else encode(v, kind) for v in a.to_pylist()], pa.binary()), T.BinaryType())(c)
+
+
+def unpack(c: Column, kind: T.DataType) -> Column:
+    """The inverse of pack."""
+    arrow = to_arrow_type(kind)
+    return arrow_udf(lambda a: pa.array([None if v is None else decode(v, kind) for v in a.to_pylist()], arrow), kind)(c)
 
 
 def _blob(b: bytes) -> bytes:
@@ -234,6 +272,7 @@ def encode(value, kind: T.DataType, nullable: bool = False, meta: dict | None =
     if value is None:
         raise ValueError("null in a field that is not nullable")
     if meta and meta.get("adapter") in ADAPTERS:
+        USES[meta["adapter"], "encoded"] += 1
         return _blob(ADAPTERS[meta["adapter"]][0](value))
     if type(kind) in _FIXED:
         return struct.pack(_FIXED[type(kind)], value)
@@ -290,6 +329,7 @@ def _decode(b, at, kind, nullable=False, meta=None):
 
     if meta and meta.get("adapter") in ADAPTERS:
         x, at = blob(at)
+        USES[meta["adapter"], "decoded"] += 1
         return ADAPTERS[meta["adapter"]][1](x), at
     if type(kind) in _FIXED:
         f = _FIXED[type(kind)]

@@ -72,33 +72,38 @@ class Coder:
         return data + self.encode(data)
 
 
-def coder(k: int, m: int) -> Coder:
-    return Coder(k, m)
-
-
 def encode_stripes(df, k: int, m: int):
-    """Rows (stripe long, lane int, block binary) to the same with m parity lanes more."""
+    """Rows (stripe, lane int, block binary) to the same with m parity lanes more, and each block's CRC32."""
+    import zlib
+
     import pandas as pd
 
+    kind = df.schema["stripe"].dataType.simpleString()
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("lane")
         width = max(map(len, pdf["block"]))
         data = [bytes(b).ljust(width, b"\0") for b in pdf["block"]] + [bytes(width)] * (k - len(pdf))
-        s = int(pdf["stripe"].iloc[0])
         lanes = data + Coder(k, m).encode(data)
-        return pd.DataFrame({"stripe": [s] * (k + m), "lane": range(k + m), "block": lanes})
+        return pd.DataFrame({"stripe": [pdf["stripe"].iloc[0]] * (k + m), "lane": range(k + m), "block": lanes, "crc": [zlib.crc32(x) for x in lanes]})
 
-    return df.groupBy("stripe").applyInPandas(one, "stripe long, lane int, block binary")
+    return df.groupBy("stripe").applyInPandas(one, f"stripe {kind}, lane int, block binary, crc long")
 
 
 def recover_stripes(df, k: int, m: int):
-    """Rows (stripe, lane, block) with lanes missing to all data lanes."""
+    """Rows (stripe, lane, block, crc) to all data lanes. Lanes that are missing, null, or that do not have their CRC32
+    (where there is one) are erasures; more than m of them in a stripe are an error."""
+    import zlib
+
     import pandas as pd
 
+    kind = df.schema["stripe"].dataType.simpleString()
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         lanes: list[bytes | None] = [None] * (k + m)
-        for i, b in zip(pdf["lane"], pdf["block"], strict=True):
-            lanes[int(i)] = None if b is None else bytes(b)
-        return pd.DataFrame({"stripe": [int(pdf["stripe"].iloc[0])] * k, "lane": range(k), "block": Coder(k, m).reconstruct(lanes)[:k]})
+        for i, b, crc in zip(pdf["lane"], pdf["block"], pdf["crc"] if "crc" in pdf else [None] * len(pdf), strict=True):
+            whole = b is not None and (crc is None or zlib.crc32(bytes(b)) == crc)
+            lanes[int(i)] = bytes(b) if whole else None
+        return pd.DataFrame({"stripe": [pdf["stripe"].iloc[0]] * k, "lane": range(k), "block": Coder(k, m).reconstruct(lanes)[:k]})
 
-    return df.groupBy("stripe").applyInPandas(one, "stripe long, lane int, block binary")
+    return df.groupBy("stripe").applyInPandas(one, f"stripe {kind}, lane int, block binary")

@@ -49,10 +49,11 @@ class Options:
     bloom_fpp: float = 0.01
     target_partitions: int | None = None
     compact_on_flush: bool = True
-    flush_every: int = 1  # batches that may stay unflushed
+    flush_every: int = 1  # batches that may stay in the log before they are one run
+    retain_s: float = 3600  # for how long replaced runs can still be read
 
     def __post_init__(self):
-        for ok, what in ((self.max_files_per_level >= 1, "max_files_per_level >= 1"), (self.tombstone_ttl_s >= 0, "tombstone_ttl_s >= 0"), (1e-9 <= self.bloom_fpp <= 0.5, "bloom_fpp in [1e-9, 0.5]"), (self.flush_every >= 1, "flush_every >= 1"), (self.target_partitions is None or self.target_partitions >= 1, "target_partitions >= 1")):
+        for ok, what in ((self.max_files_per_level >= 1, "max_files_per_level >= 1"), (self.tombstone_ttl_s >= 0, "tombstone_ttl_s >= 0"), (1e-9 <= self.bloom_fpp <= 0.5, "bloom_fpp in [1e-9, 0.5]"), (self.flush_every >= 1, "flush_every >= 1"), (self.retain_s >= 0, "retain_s >= 0"), (self.target_partitions is None or self.target_partitions >= 1, "target_partitions >= 1")):
             if not ok:
                 raise ValueError(f"options: {what} is required")
 

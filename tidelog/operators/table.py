@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 from typing import Any, Callable
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
@@ -38,9 +38,8 @@ class Query:
 
 class Table:
     def __init__(self, spark: SparkSession, base: str, entity: Entity, options: Options):
-        self.spark, self.entity, self.options = spark, entity, options
+        self.spark, self.base, self.entity, self.options = spark, base, entity, options
         self.store = Store(spark, base, entity, options)
-        self.pending: list[DataFrame] = []
         self.seq = self.store.state.last_seq
 
     @classmethod
@@ -50,14 +49,13 @@ class Table:
     # reading
 
     def log(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, [self.store.log(), *self.pending])
+        return self.store.log()
 
     def live(self, where: Column | None = None) -> DataFrame:
         """Visible rows; `where` may only name the key and goes below the resolution."""
         log = self.log()
         log = log if where is None else log.filter(where)
-        one = self.store.one_per_key() and not self.pending
-        out = log.filter(~F.col(TOMB)) if one else resolve.live(log, self.entity.id_col)
+        out = log.filter(~F.col(TOMB)) if self.store.one_per_key() else resolve.live(log, self.entity.id_col)
         return out.drop(*META)
 
     def get(self, key: Any) -> Row | None:
@@ -97,25 +95,32 @@ class Table:
     def _lit(self, v: Any) -> Column:
         return F.lit(v).cast(self.entity.schema[self.entity.id_col].dataType)
 
-    def _append(self, rows: DataFrame, steps: int = 1) -> int:
-        """Rows have META's seq offsets already; the whole batch is one atomic unit."""
-        self.seq += steps
-        self.pending.append(rows.select(*log_schema(self.entity).fieldNames()))
-        if len(self.pending) >= self.options.flush_every:
-            self.flush()
+    def _append(self, rows: DataFrame) -> int:
+        """The batch is one atomic unit with the next seq. It is computed once, and on disk when this returns."""
+        self.store.append(rows.select(*log_schema(self.entity).fieldNames()), self.seq + 1)
+        self.seq += 1
         return self.seq
 
     def put_all(self, df: DataFrame, order_by: str | Column | None = None) -> int:
-        """Append a batch; all rows get one seq. With keys that repeat, `order_by` says which row is last."""
-        k = self.entity.id_col
-        base, steps, ord_ = self.seq + 1, 1, F.monotonically_increasing_id()
+        """Append a batch; all rows get one seq. Of rows with the same key the last one wins: the last of the frame, or
+        the greatest by `order_by`."""
         if order_by is not None:
-            w = Window.partitionBy(k)
-            o = F.col(order_by) if isinstance(order_by, str) else order_by
-            df = df.withColumn("_rn", F.row_number().over(w.orderBy(o.desc()))).filter("_rn = 1").drop("_rn")
+            df = self._last(df, order_by)
         rows = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.entity.schema.fields])
-        rows = rows.withColumns({SEQ: F.lit(base).cast("long"), TOMB: F.lit(False), ORD: ord_, DELETED_AT: F.lit(None).cast("timestamp")})
-        return self._append(rows, steps)
+        # within a seq the least place wins
+        return self._append(rows.withColumns({SEQ: F.lit(self.seq + 1).cast("long"), TOMB: F.lit(False), ORD: -F.monotonically_increasing_id(), DELETED_AT: F.lit(None).cast("timestamp")}))
+
+    def _last(self, df: DataFrame, order_by: str | Column | None) -> DataFrame:
+        """The last row of each key."""
+        o = F.monotonically_increasing_id() if order_by is None else F.col(order_by) if isinstance(order_by, str) else order_by
+        df = df.withColumn("_o", o)
+        return df.withColumn("_rn", F.row_number().over(Window.partitionBy(self.entity.id_col).orderBy(F.col("_o").desc()))).filter("_rn = 1").drop("_rn", "_o")
+
+    def apply_all(self, df: DataFrame, delete_col: str, order_by: str | Column | None = None) -> int:
+        """Puts and deletes (where `delete_col` is true) in one batch; the last row of each key counts, whichever it is."""
+        gone = F.coalesce(F.col(delete_col), F.lit(False))
+        rows = self._last(df, order_by).select(*[(F.col(f.name) if f.name == self.entity.id_col else F.when(~gone, F.col(f.name))).cast(f.dataType).alias(f.name) for f in self.entity.schema.fields], gone.alias(TOMB))
+        return self._append(rows.withColumns({SEQ: F.lit(self.seq + 1).cast("long"), ORD: F.lit(0).cast("long"), DELETED_AT: F.when(F.col(TOMB), F.current_timestamp())}))
 
     def put(self, entity: dict | Row, key: Any = None) -> int:
         row = entity.asDict() if isinstance(entity, Row) else dict(entity)
@@ -146,11 +151,15 @@ class Table:
         """Requests: id, expected_seq, delete, value columns; the ones whose expected_seq is the key's current
         seq apply (null or -1: the key must be absent). Returns id and applied; at most one request per key."""
         k = self.entity.id_col
-        decided = cas_decisions(requests, resolve.live(self.log(), k), k).persist()
+        # decided once: the table that is returned does not change when the log does
+        rel = f"cas/{uuid.uuid4().hex}"
+        cas_decisions(requests, resolve.live(self.log(), k), k).write.parquet(self.store.files.uri(rel))
+        decided = self.spark.read.parquet(self.store.files.uri(rel))
         hit = decided.filter("applied")
         rows = hit.select(k, *[F.when(~F.col("delete"), F.col(n)).cast(self.entity.schema[n].dataType).alias(n) for n in self.entity.value_cols], F.lit(self.seq + 1).cast("long").alias(SEQ), F.col("delete").alias(TOMB), F.monotonically_increasing_id().alias(ORD), F.when(F.col("delete"), F.current_timestamp()).alias(DELETED_AT))
         self._append(rows)
         self.flush()
+        self.store.retire(rel)
         return decided.select(k, "applied")
 
     def compare_and_swap(self, key: Any, expected_seq: int | None, new: dict | None) -> bool:
@@ -163,10 +172,11 @@ class Table:
         return r[0] if r else None
 
     def flush(self) -> None:
-        """Pending batches become one run of level 0."""
-        if self.pending:
-            rows, self.pending = reduce(DataFrame.unionByName, self.pending), []
-            self.store.seal(rows, self.seq)
+        """Batches of the log become one run of level 0."""
+        self.store.flush()
+
+    def truncate(self) -> None:
+        self.store.truncate()
 
     def compact(self, level: int = 0, now: float | None = None) -> None:
         self.flush()

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tidelog.sources.fs import Files
 
-KINDS = ("Seal", "CompactionStart", "CompactionEnd", "Delete", "Checkpoint", "Truncate", "FormatBump", "Rotate", "StripeCommit")
+KINDS = ("Append", "Seal", "CompactionStart", "CompactionEnd", "Delete", "Checkpoint", "Truncate", "FormatBump", "Rotate", "StripeCommit")
 EVENT = T.StructType([T.StructField("ord", T.LongType()), T.StructField("type", T.StringType()), T.StructField("run", T.StringType()), T.StructField("inputs", T.ArrayType(T.StringType())), T.StructField("output", T.StringType()), T.StructField("level", T.IntegerType()), T.StructField("rows", T.LongType()), T.StructField("last_seq", T.LongType()), T.StructField("ts", T.LongType())])
 
 
@@ -27,6 +27,8 @@ class Conflict(RuntimeError):
 @dataclass
 class State:
     live: dict[str, dict] = field(default_factory=dict)
+    retired: dict[str, int] = field(default_factory=dict)  # runs that nothing names any more, with the time (ms) since when
+    striped: dict[str, dict] = field(default_factory=dict)  # runs with parity
     deleted: set[str] = field(default_factory=set)
     last_seq: int = 0
     checkpoint: dict | None = None
@@ -41,22 +43,28 @@ def fold(events: list[dict]) -> State:
         kind = e["type"]
         if kind not in KINDS:
             raise ValueError(f"manifest: unknown event {kind!r}")
-        if kind == "Seal":
+        gone: list[str] = []
+        if kind in ("Append", "Seal"):
+            gone = e.get("inputs") or []
             s.live[e["run"]] = e
         elif kind == "CompactionEnd":
-            for r in e["inputs"]:
-                s.live.pop(r, None)
-                s.deleted.add(r)
+            gone = e["inputs"]
             if e.get("output"):
                 s.live[e["output"]] = e | {"run": e["output"]}
         elif kind == "Delete":
             s.live.pop(e["run"], None)
+            s.retired.pop(e["run"], None)
+            s.striped.pop(e["run"], None)
             s.deleted.add(e["run"])
         elif kind == "Truncate":
-            s.deleted.update(s.live)
-            s.live.clear()
+            gone = list(s.live)
+        elif kind == "StripeCommit":
+            s.striped[e["run"]] = e
         elif kind == "Checkpoint":
             s.checkpoint = e
+        for r in gone:
+            s.live.pop(r, None)
+            s.retired[r] = e.get("ts") or 0
         s.last_seq = max(s.last_seq, e.get("last_seq") or 0)
     s.events = events
     return s
@@ -96,7 +104,7 @@ class Manifest:
         return out
 
     def rotate(self, state: State) -> None:
-        keep = [{"type": "Rotate", "last_seq": state.last_seq}, *({"type": "Seal", "run": r, "level": e["level"], "rows": e.get("rows"), "last_seq": e.get("last_seq"), "ts": e.get("ts")} for r, e in state.live.items())]
+        keep = [{"type": "Rotate", "last_seq": state.last_seq}, *({"type": "Seal", "run": r, "level": e["level"], "rows": e.get("rows"), "last_seq": e.get("last_seq"), "ts": e.get("ts")} for r, e in state.live.items()), *state.striped.values(), *({"type": "CompactionEnd", "inputs": [r], "output": None, "ts": ts} for r, ts in state.retired.items())]
         if self.files.create(f"s{state.version:012d}.jsonl", "\n".join(map(json.dumps, keep)) + "\n"):
             for n in self._names():
                 if n < f"n{state.version:012d}.jsonl":

@@ -9,25 +9,15 @@ from tidelog.operators.table import Table
 
 
 def ingest(stream: DataFrame, table: Table, checkpoint: str, order_by: str | None = None, delete_col: str | None = None, available_now: bool = True) -> StreamingQuery:
-    """Append a stream to a table. `order_by` says which row of a key is last in a batch; rows where
-    `delete_col` is true are deletes. A batch that is run again after a failure puts the same rows again,
+    """Append a stream to a table. `order_by` says which row of a key is last in a batch (else the
+    batch's last one); rows where `delete_col` is true are deletes. A batch that is run again after a failure puts the same rows again,
     under a higher seq: the visible rows are the same."""
 
     def one(df: DataFrame, batch_id: int) -> None:
         if delete_col is None:
             table.put_all(df, order_by)
         else:
-            from pyspark.sql import Window
-            from pyspark.sql import functions as F
-
-            k = table.entity.id_col
-            if order_by:
-                df = df.withColumn("_rn", F.row_number().over(Window.partitionBy(k).orderBy(F.col(order_by).desc()))).filter("_rn = 1").drop("_rn")
-            df = df.persist()
-            table.put_all(df.filter(~F.col(delete_col)))
-            table.delete_all(df.filter(F.col(delete_col)))
-            table.flush()
-            df.unpersist()
+            table.apply_all(df, delete_col, order_by)
         table.flush()
 
     w = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
