@@ -277,10 +277,10 @@ def _(s, d):
 HASHES = {"fnv1a32": codec.fnv1a32, "crc32c": codec.crc32c, "siphash24": codec.siphash24, "murmur3": codec.murmur3, "mix64": codec.mix64}
 
 
-_BYTES = "list_transform(range(1, length({0}) + 1), i -> ascii(substr({0}, i, 1)))"  # of ASCII text
-_FNV = f"list_reduce(list_prepend(CAST(2166136261 AS BIGINT), CAST({_BYTES.format('c_name')} AS BIGINT[])), (h, b) -> (xor(h, b) * 16777619) % 4294967296)"
-_CRC_BYTE = "list_reduce([xor(h, b), 0, 0, 0, 0, 0, 0, 0, 0], (x, _) -> xor(x >> 1, 2197175160 * (x & 1)))"
-_CRC = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), CAST({_BYTES.format('c_name')} AS BIGINT[])), (h, b) -> {_CRC_BYTE}), 4294967295)"
+_BYTES = "list_transform(range(1, length({0}) + 1), lambda i: ascii(substr({0}, i, 1)))"  # of ASCII text
+_FNV = f"list_reduce(list_prepend(CAST(2166136261 AS BIGINT), CAST({_BYTES.format('c_name')} AS BIGINT[])), lambda h, b: (xor(h, b) * 16777619) % 4294967296)"
+_CRC_BYTE = "list_reduce([xor(h, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 2197175160 * (x & 1)))"
+_CRC = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), CAST({_BYTES.format('c_name')} AS BIGINT[])), lambda h, b: {_CRC_BYTE}), 4294967295)"
 
 
 @add("hash_fnv1a_crc32c", f"SELECT c_custkey, CAST({_FNV} AS BIGINT) AS fnv1a32, CAST({_CRC} AS BIGINT) AS crc32c FROM customer")
