@@ -94,3 +94,12 @@ def test_decoder_is_incremental():
         assert "".join([*(d.feed([i]) for i in ids), d.end()]) == t
     d = bpe.Decoder(own.merges)  # a broken end
     assert d.feed(lib.encode("🎉", add_special_tokens=False).ids[:1]) + d.end() == "\ufffd"
+
+
+def test_every_word_goes_through_the_transducer_and_the_decoder(monkeypatch):
+    own, fed = bpe.WordTokenizer(op.tokenizer_path()), []
+    feed = bpe.Decoder.feed
+    monkeypatch.setattr(bpe.Decoder, "feed", lambda self, ids: fed.append(list(ids)) or feed(self, fed[-1]))
+    n, ids, decoded = own.summaries(pa.array(["alpha beta gamma beta", "beta unlikelyword" + "q" * 300, ""]))
+    assert own.merges._transducer.words == 4 and len(fed) >= 4
+    assert [len(x.split()) for x in ids.to_pylist()] == n.tolist()

@@ -1,8 +1,8 @@
-"""Byte-pair tokenizer files: merges with memory of chunks, and a transducer with bounded lookahead.
+"""Byte-pair tokenizer files: a transducer with bounded lookahead, memories of chunks, and an incremental decoder.
 
 Texts are cut at single spaces; most chunks have been met before, and their ids come from a bounded memo.
 
-A word of any length goes through `Transducer`: the merge list gives M, the length of its longest token.
+Every new word, of any length, goes through `Transducer`: the merge list gives M, the length of its longest token.
 The tokens of a text's first i symbols are the tokens up to the last one's start, and the last one; and the
 tokens of a whole text, cut at a token's end, are the tokens of that part. So the final tokens pass through one
 of the last M ends, and what the paths to all of these share is stable: it is emitted, and only the ends since
@@ -22,7 +22,6 @@ from functools import cache
 import regex
 
 MAX_MEMO = 250_000
-SHORT = 48
 NONE = 1 << 40
 
 
@@ -86,7 +85,7 @@ class Merges:
             self.rank.setdefault(vocab[a] << 20 | vocab[b], i)
             self.made.append(vocab[a + b])
         self.text = {i: t for t, i in vocab.items()}
-        self._tables = None
+        self._tables = self._transducer = None
 
     def symbols(self, word: bytes) -> list[int]:
         s = [self.first[b] for b in word]
@@ -112,19 +111,26 @@ class Merges:
         return ids
 
     def word(self, word: bytes) -> list[int]:
-        if len(word) <= SHORT:
-            return self.merged(self.symbols(word))
-        return list(Transducer(self).encode(self.symbols(word)))
+        if self._transducer is None:
+            self._transducer = Transducer(self)
+        return list(self._transducer.encode(self.symbols(word)))
 
     def tables(self):
-        """(symbols of a token to its id, M) for tokens that encode to themselves."""
+        """(edges and ends of a trie of tokens' symbols, M, a token's symbols) for tokens that merges make."""
         if self._tables is None:
             parts: dict[int, tuple[int, ...]] = {i: (i,) for i in {*self.first, *self.last}}
             for k, r in sorted(self.rank.items(), key=lambda x: x[1]):
                 a, b, t = k >> 20, k & 0xFFFFF, self.made[r]
                 if t not in parts and a in parts and b in parts:
                     parts[t] = parts[a] + parts[b]
-            self._tables = {p: t for t, p in parts.items()}, max(map(len, parts.values())), parts
+            edges: dict[int, int] = {}
+            ends: dict[int, int] = {}
+            for t, p in parts.items():
+                node = 0
+                for x in p:
+                    node = edges.setdefault(node << 20 | x, len(edges) + 1)
+                ends[node] = t
+            self._tables = edges, ends, max(map(len, parts.values())), parts
         return self._tables
 
 
@@ -133,9 +139,10 @@ class Transducer:
 
     def __init__(self, merges: Merges):
         self.m = merges
-        self.by_symbols, self.lookahead, self.parts = merges.tables()
+        self.edges, self.tokens, self.lookahead, self.parts = merges.tables()
         self.pairs: dict[int, bool] = {}
-        self.most_kept = 0
+        self.stays: dict[int, bool] = {}
+        self.most_kept = self.words = 0
 
     def compatible(self, a: int, b: int) -> bool:
         k = a << 20 | b
@@ -145,33 +152,42 @@ class Transducer:
             ok = self.pairs[k] = self.m.merged([*self.parts[a], *self.parts[b]]) == [a, b]
         return ok
 
+    def whole(self, t: int) -> bool:
+        """A token's symbols encode to the token."""
+        if (ok := self.stays.get(t)) is None:
+            ok = self.stays[t] = self.m.merged([*self.parts[t]]) == [t]
+        return ok
+
     def encode(self, symbols: Iterable[int]) -> Iterator[int]:
-        tail: list[int] = []  # the last M symbols
+        self.words += 1
+        step, token, pairs = self.edges.get, self.tokens.get, self.pairs.get
         # ends[i]: (last token, its start) at kept ends; base is where emitted tokens stop
         ends: dict[int, tuple[int, int]] = {}
         base, i, before = 0, 0, None
+        active = [(0, 0)]  # ends that tokens may go on from, and where these are in the trie
         for s in symbols:
             i += 1
-            tail.append(s)
-            if len(tail) > self.lookahead:
-                del tail[0]
-            for n in range(min(len(tail), i - base), 0, -1):
-                t = self.by_symbols.get(tuple(tail[-n:]))
-                if t is None or self.m.merged([*self.parts[t]]) != [t]:
-                    continue
-                start = i - n
-                prev = before if start == base else ends[start][0] if start in ends else None
-                if start != base and start not in ends:
+            going, found = [], None
+            for start, node in active:
+                if (node := step(node << 20 | s)) is None:
                     continue
-                if prev is None or self.compatible(prev, t):
-                    ends[i] = (t, start)
-                    break
+                going.append((start, node))
+                if found is None and (t := token(node)) is not None and self.whole(t):
+                    prev = before if start == base else ends[start][0]
+                    ok = True if prev is None else pairs(prev << 20 | t)
+                    if self.compatible(prev, t) if ok is None else ok:
+                        found = t, start
+            if found:
+                ends[i] = found
+                going.append((i, 0))
+            active = going
             if i - base > 2 * self.lookahead:
                 for t, at in self._stable(ends, base, i):
                     yield t
                     before, base = t, at
                 for e in [e for e in ends if e <= base]:
                     del ends[e]
+                active = [x for x in active if x[0] >= base]
             self.most_kept = max(self.most_kept, len(ends))
         path, at = [], i
         while at > base:
@@ -203,6 +219,10 @@ class Decoder:
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
         self.started = False
 
+    def reset(self) -> None:
+        self.utf8.reset()
+        self.started = False
+
     def feed(self, ids: Iterable[int]) -> str:
         out = []
         for i in ids:
@@ -233,6 +253,7 @@ class WordTokenizer:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.find = regex.compile(j["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.decoder = {i: s for s, i in self.special.items()}
+        self.machine = Decoder(self.merges, self.decoder, False)
         self.words, self.memo = Memo(self.word_entry), Memo(self.entry)
 
     def normal(self, s: str) -> str:
@@ -253,7 +274,9 @@ class WordTokenizer:
         return [i for w in self.pieces(chunk) for i in ([w] if isinstance(w, int) else self.merges.word(w.encode()))]
 
     def shown(self, ids: list[int]) -> tuple[int, str, str]:
-        return len(ids), " ".join(map(str, ids)), " ".join([self.decoder.get(i) or self.merges.text[i] for i in ids])
+        """(number, decimal ids, decoded): what the decoder says of ids depends on what stands before them only by the space
+        between tokens, so that a text's parts can be decoded apart, once each."""
+        return len(ids), " ".join(map(str, ids)), self.decode(ids)
 
     def word_entry(self, word: str) -> tuple[int, str, str]:
         return self.shown(self.merges.word(word.encode()))
@@ -272,8 +295,8 @@ class WordTokenizer:
         return [i for c in text.split(" ") for i in self.chunk_ids(c)]
 
     def decode(self, ids: Iterable[int]) -> str:
-        d = Decoder(self.merges, self.decoder, False)
-        return d.feed(ids) + d.end()
+        self.machine.reset()
+        return self.machine.feed(ids) + self.machine.end()
 
     def summaries(self, texts) -> tuple:
         """A string array to (numbers of ids, decimal ids joined, decoded texts). Each distinct chunk of the
