@@ -90,7 +90,7 @@ def test_spans_name_the_passage():
     listed = {"vile$": 3.0, "rotten$": 3.0}
     text = "one two three " * 20 + "vile rotten vile rotten" + " four five" * 30
     spans = []
-    op.features(pa.array([text, "", "one two"]), listed, 0.1, spans)
+    op.features(pa.array([text, "", "one two"]), listed, 0.1, spans=spans)
     assert [(d, a, b) for d, _, a, b in spans] == [(0, 60, 63)]
 
 
@@ -101,3 +101,52 @@ def test_filter(spark):
     bad = {r.doc_id for r in op.scored(docs, model).filter("predicted = 1").collect()}
     assert out.columns == docs.columns and bad
     assert {r.doc_id for r in out.collect()} == {r.doc_id for r in docs.collect()} - bad
+
+
+def test_scan_is_linear():
+    """Declining sums, where a search of the whole stack takes n steps for each hit."""
+    import time
+
+    def took(n):
+        t = time.process_time()
+        op.segments(list(range(0, 60 * n, 60)), [1.0] * n, 0.5)
+        return time.process_time() - t
+
+    took(1000)
+    assert took(64_000) < 40 * took(4000) + 0.2
+    assert op.segments(list(range(0, 6000, 60)), [1.0] * 100, 0.5) == [(1.0, i, i) for i in range(0, 6000, 60)]
+
+
+def test_calibration_finds_the_parameters():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    n = rng.integers(50, 2000, 20_000).astype(float)
+    s = (np.log(0.02 * n) - np.log(rng.exponential(size=len(n)))) / 0.8
+    lam, ln_k = op.calibrated(np.maximum(s, 0), n)
+    assert abs(lam - 0.8) < 0.05 and abs(ln_k - np.log(0.02)) < 0.2
+    assert op.calibrated(np.zeros(100), np.ones(100)) == (1.0, 0.0)
+
+
+def test_scores_by_the_definition(spark):
+    """Every score of a table from segments by all intervals, the calibration and the curve."""
+    import math
+    import re
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("n_chars < 1200").limit(120)
+    model = op.train(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    got = {r.doc_id: r.score for r in op.scored(docs, model).collect()}
+    for r in docs.collect():
+        values = []
+        for chunk in r.text.split(" "):
+            w = 0.0
+            for t in re.findall(r"[^\W_]+", chunk.lower()):
+                w += max([model.listed.get(t + "$", 0.0), *(model.listed.get(t[:k], 0.0) for k in range(3, 8) if len(t) > k)])
+            values.append(w if w > 0 else -model.drift)
+        lam, ln_k = model.ev
+        segs = [(sum(values[a : b + 1]), a, b) for _, a, b in maximal(values)]
+        sig = [lam * s - ln_k - math.log(max(1, len(values))) for s, _, _ in segs]
+        total, best = sum(x for x in sig if x > 0), max([0.0, *sig])
+        dense = max((s / math.sqrt(b - a + 1) for s, a, b in segs), default=0.0)
+        z = sum(x * c for x, c in zip((1, math.log1p(total), math.log1p(best), dense, total > 0), model.curve, strict=True))
+        assert abs(got[r.doc_id] - 1 / (1 + math.exp(-z))) < 1e-9

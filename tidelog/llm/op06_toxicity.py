@@ -4,16 +4,18 @@ Features are a document's distinct tokens, whole, and their beginnings of PREFIX
 other labelled documents, with Dirichlet priors in proportion to the features' overall rates, less `SHRINK`
 standard errors; features with z >= LEAST_Z are listed (at most MAX_TOKENS). A token has the largest weight of its
 listed features, and one small negative weight without any. A linear-time scan finds all maximal scoring segments of a text. By
-extreme-value theory a random text of n tokens has a segment of score S or more with probability about
-n exp(-S) (the scores are log-likelihood ratios), so a segment is significant by S - ln n; significant
-segments add up, and a logistic curve fitted on the training rows turns the sum, the best and the density into a
-probability.
+extreme-value theory the best segment of a clean text of n tokens scores S or more with probability
+1 - exp(-K n exp(-lambda S)); lambda and K are fitted on the clean training texts. A segment is significant by
+lambda S - ln K n; significant segments add up, and a logistic curve fitted on the training rows turns the sum, the
+best and the best for its length into a probability.
 
 Fitting uses labels of rows with crc32(doc_id) mod 4 <> 2 only, MAX_TRAIN of them at most (by hash of doc_id,
 the same rows for any partitioning). Scoring is one pass without a shuffle: distinct words of a batch are
 looked up once, and only listed tokens are visited.
 
-Defined results: null or empty text has no segment and the lowest score; documents with several labels count as
+Defined results: null or empty text has no segment and the lowest score; of equal segments (ties) the shortest, then
+the first counts; texts of any length are scanned whole, in linear time; an empty table gives an empty result; extra
+columns of any name change nothing; documents with several labels count as
 toxic if any says so; without toxic labels all scores are 0; repeated rows are scored alike.
 """
 
@@ -32,6 +34,8 @@ from tidelog.llm.common import forget, mapped, stored, table, text_of
 
 MAX_TRAIN, MAX_TOKENS, PRIOR, SHRINK, LEAST_Z, LEAST_DRIFT, CUT = 40_000, 50_000, 500.0, 1.0, 4.0, 0.02, 0.3
 PREFIXES = range(3, 8)
+#: Clean texts with a segment that a calibration takes, and the values of lambda that it tries.
+LEAST_BEST, LAMBDAS = 20, np.exp(np.linspace(np.log(0.05), np.log(5), 120))
 TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -73,35 +77,31 @@ def weights(train: DataFrame) -> tuple[dict[str, float], float]:
 
 def segments(hits: list[int], w: list[float], drift: float) -> list[tuple[float, int, int]]:
     """All maximal scoring segments (score, first, last) of a text where token hits[i] has weight w[i] > 0 and
-    every other one -drift: Ruzzo and Tompa's stack, over hits."""
-    stack: list[tuple[float, float, int, int]] = []  # sums before and after, first, last
+    every other one -drift: Ruzzo and Tompa's stack, over hits. Each item knows the nearest one below it with a lower
+    sum before it, so that a search passes over an item once: linear time. Of equal segments the shortest counts."""
+    stack: list[tuple[float, float, int, int, int]] = []  # sums before and after, first, last, nearest lower item
     total, before = 0.0, -1
     for at, x in zip(hits, w, strict=True):
         total -= drift * (at - before - 1)
         before = at
         low, high, first = total, total + x, at
         total = high
-        while stack:
-            j = next((j for j in range(len(stack) - 1, -1, -1) if stack[j][0] < low), None) if len(stack) < 64 else _find(stack, low)
-            if j is None or stack[j][1] >= high:
+        j = len(stack) - 1
+        while True:
+            while j >= 0 and stack[j][0] >= low:
+                j = stack[j][4]
+            if j < 0 or stack[j][1] >= high:
                 break
-            low, first = stack[j][0], stack[j][2]
+            low, _, first, _, lower = stack[j]
             del stack[j:]
-        stack.append((low, high, first, at))
-    return [(h - x, a, b) for x, h, a, b in stack]
+            j = lower
+        stack.append((low, high, first, at, j))
+    return [(h - x, a, b) for x, h, a, b, _ in stack]
 
 
-def _find(stack, low):
-    for j in range(len(stack) - 1, -1, -1):
-        if stack[j][0] < low:
-            return j
-    return None
-
-
-def features(texts: pa.Array, listed: dict[str, float], drift: float, spans: list | None = None) -> np.ndarray:
-    """Per text: sum of significant scores, best of them, best density of them. spans: gets (text, score, first
-    word, last word) of each significant segment."""
-    out = np.zeros((len(texts), 3))
+def found(texts: pa.Array, listed: dict[str, float], drift: float) -> tuple[np.ndarray, list[list[tuple[float, int, int]]]]:
+    """Per text: the number of its tokens, and its maximal segments."""
+    out: list[list[tuple[float, int, int]]] = [[] for _ in range(len(texts))]
     at, chunks, bounds = bpe.chunked(texts)
     w, get = np.zeros(len(chunks)), listed.get
     for i, c in enumerate(chunks):
@@ -109,22 +109,45 @@ def features(texts: pa.Array, listed: dict[str, float], drift: float, spans: lis
         for t in TOKEN.findall(c.lower()):
             s += max([get(t + "$", 0.0), *(get(t[:k], 0.0) for k in PREFIXES if len(t) > k)])
         w[i] = s
-    if not len(at):
-        return out
-    hit = np.flatnonzero(w[at] > 0)
+    hit = np.flatnonzero(w[at] > 0) if len(at) else np.zeros(0, dtype=np.int64)
     doc = np.searchsorted(bounds, hit, "right") - 1
-    val = w[at[hit]]
+    val = w[at[hit]] if len(hit) else np.zeros(0)
     for part in np.split(np.arange(len(hit)), np.flatnonzero(np.diff(doc)) + 1) if len(hit) else []:
         d = doc[part[0]]
-        n = bounds[d + 1] - bounds[d]
-        for s, a, b in segments((hit[part] - bounds[d]).tolist(), val[part].tolist(), drift):
-            sig = s - np.log(n)
+        out[d] = segments((hit[part] - bounds[d]).tolist(), val[part].tolist(), drift)
+    return np.maximum(1, np.diff(bounds)), out
+
+
+def calibrated(best: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """(lambda, ln K) of the best segments of clean texts of n tokens: P(S >= s) = 1 - exp(-K n exp(-lambda s)), by
+    maximum likelihood; texts without a segment are censored at 0. (1, 0), the values of log-likelihood ratios, where
+    fewer than LEAST_BEST texts have a segment."""
+    some = best > 0
+    if some.sum() < LEAST_BEST:
+        return 1.0, 0.0
+    like = []
+    for lam in LAMBDAS:
+        k = some.sum() / (n * np.exp(-lam * best)).sum()
+        like.append(some.sum() * (np.log(k) + np.log(lam)) - lam * best.sum() - some.sum())
+    lam = float(LAMBDAS[int(np.argmax(like))])
+    return lam, float(np.log(some.sum() / (n * np.exp(-lam * best)).sum()))
+
+
+def features(texts: pa.Array, listed: dict[str, float], drift: float, ev: tuple[float, float] = (1.0, 0.0), spans: list | None = None) -> np.ndarray:
+    """Per text, of segments alone: sum of the significant ones' log odds against chance (lambda s - ln K n), the best
+    one's, and the best score for its length. spans: gets (text, score, first word, last word) of each significant one."""
+    n, segs = found(texts, listed, drift)
+    out = np.zeros((len(texts), 3))
+    chance = ev[1] + np.log(n)
+    for d, own in enumerate(segs):
+        for s, a, b in own:
+            sig = ev[0] * s - chance[d]
             if sig > 0:
                 out[d, 0] += sig
                 out[d, 1] = max(out[d, 1], sig)
                 if spans is not None:
-                    spans.append((int(d), s, a, b))
-        out[d, 2] = val[part].sum() / np.sqrt(n)
+                    spans.append((d, s, a, b))
+            out[d, 2] = max(out[d, 2], s / np.sqrt(b - a + 1))
     return out
 
 
@@ -146,13 +169,13 @@ def fit(f: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, listed: dict[str, float], drift: float, curve: np.ndarray | None):
-        self.listed, self.drift, self.curve = listed, drift, curve
+    def __init__(self, listed: dict[str, float], drift: float, curve: np.ndarray | None, ev: tuple[float, float] = (1.0, 0.0)):
+        self.listed, self.drift, self.curve, self.ev = listed, drift, curve, ev
 
     def score(self, texts: pa.Array) -> np.ndarray:
         if self.curve is None:
             return np.zeros(len(texts))
-        return 1 / (1 + np.exp(-np.clip(_design(features(texts, self.listed, self.drift)) @ self.curve, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(_design(features(texts, self.listed, self.drift, self.ev)) @ self.curve, -30, 30)))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -161,13 +184,20 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     if not listed:
         return Model({}, drift, None)
 
+    def bests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, segs = found(b.column(0), listed, drift)
+            yield pa.RecordBatch.from_arrays([pa.array([max((x[0] for x in own), default=0.0) for own in segs], pa.float64()), pa.array(n.astype(float)), b.column(1)], ["best", "n", "y"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = features(b.column(0), listed, drift)
+            f = features(b.column(0), listed, drift, ev)
             yield pa.RecordBatch.from_arrays([*(pa.array(f[:, i]) for i in range(3)), b.column(1)], ["a", "b", "c", "y"])
 
+    # a row for each training text, 2 * MAX_TRAIN at most
+    ev = calibrated(*rows.filter("toxic = 0").select("text", "toxic").transform(mapped, bests, "best double, n double, y int").toPandas().to_numpy(dtype=float).T[:2])
     got = rows.select("text", "toxic").transform(mapped, run, "a double, b double, c double, y int").toPandas().to_numpy(dtype=float)
-    return Model(listed, drift, fit(got[:, :3], got[:, 3]))
+    return Model(listed, drift, fit(got[:, :3], got[:, 3]), ev)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
