@@ -52,17 +52,35 @@ def test_look_up_reads_by_range(spark, monkeypatch):
         assert sorted((r["page_id"], r["payload"].decode()) for r in op.look_up(a, [u])) == want
     r = op.look_up(a, ["http://h3.org/3"])[0]
     assert r["kind"] == "response" and r["url"] == "http://h3.org/3"
-    monkeypatch.setattr(op, "MAX_DIRECTORY", 1)
-    with pytest.raises(ValueError):
-        op.look_up(a, ["http://h3.org/3"])
+    read = []
+    monkeypatch.setattr(op, "_ranges", lambda fs, base, file, spans, was=op._ranges: read.append((file.split(".", 1)[1], len(spans))) or was(fs, base, file, spans))
+    assert op.look_up(a, ["http://h3.org/3"]) and len(read) <= 2 + len([1 for i in range(200) if i % 50 == 3]) and ("cdx.gz", 1) in read
 
 
 def test_least_bytes(spark):
     data = [(1, "u", "short"), (2, "u", "short"), (3, "u", "long enough" * 9), (4, "u", "long enough" * 9)]
-    got = {r.page_id: (r.kind, r.refers_to) for r in op.read_all(op.write(spark.createDataFrame(data, PAGES), least=20)).collect()}
+    pages = spark.createDataFrame(data, PAGES)
+    got = {r.page_id: (r.kind, r.refers_to) for r in op.records_of(op.write(pages, least=20), pages).collect()}
     assert got == {1: ("response", None), 2: ("response", None), 3: ("revisit", 4), 4: ("response", None)}
 
 
+def test_a_hot_url_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(op, "BLOCK_LINES", 5)
+    pages = spark.createDataFrame([*((i, "http://hot.org/", str(i % 9)) for i in range(300)), (None, "http://hot.org/", "n"), (7, "http://HOT.org/", "7")], PAGES).repartition(4)
+    a = op.write(pages)
+    assert sorted(str(r.page_id) for r in op.records_of(a, pages).collect()) == sorted(str(r.page_id) for r in pages.collect())
+    some = pages.filter("page_id % 50 = 0")
+    assert sorted(r.page_id for r in op.records_of(a, some).collect()) == [0, 50, 100, 150, 200, 250]
+    assert len(op.look_up(a, ["http://hot.org/"])) == 302
+
+
+def test_target_uris_are_plain():
+    import zlib
+
+    raw = zlib.decompress(op.record(1, "http://a/b c\r\nX: y", b"", op.base32_sha1(b""), "response", None), 31)
+    assert b"\r\nWARC-Target-URI: http://a/b c%0D%0AX: y\r\n" in raw
+
+
 def test_broken_records_are_found():
     r = op.record(1, "http://a/", b"payload", op.base32_sha1(b"other"), "response", None)
     with pytest.raises(ValueError):

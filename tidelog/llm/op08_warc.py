@@ -2,16 +2,19 @@
 
 Archives: one file per partition of the writing job, one gzip member per record. Records with equal payloads
 (of at least `least` bytes) are one response, that with the largest page_id, and revisits that refer to it.
-Index: capture lines sorted by the reversed-host key of their url, `BLOCK_LINES` of them to a compressed block;
-a sparse directory has each block's first key and byte range. A look-up bisects the directory, reads one block
-or more by range, and then the record's range of its archive.
+Index: capture lines sorted by the reversed-host key of their url and by page_id, `BLOCK_LINES` of them to a compressed
+block. Each task that writes blocks has a range of keys, and beside its blocks a sparse directory: each block's first
+key and byte range. A table with one row for each task names the directories. A look-up bisects the tasks, bisects
+the one directory that it needs, reads one block or more by range, and then the record's range of its archive. The
+query looks up every page in this way: its look-ups are dealt by key, so that a task reads each block once.
 
 Files go to the shared folder under names of their own for each attempt; the tables name only files of tasks
 that were committed, so a lost executor or a second attempt leaves, at worst, a file that nothing names.
 
 Defined results: null html is an empty payload; null urls sort first; null page_ids count as smaller than all,
-and one of them is a response only among records that all have none; rows that repeat the largest page_id are
-all responses.
+and one of them is a response only among records that all have none; rows that repeat the largest page_id (ties) are
+all responses, and have one record id; nulls in other columns and extra columns of any name change nothing; a payload
+of any length is one record, in memory alone; an empty table has an empty archive.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import fresh, mapped, open_fs, stored, table
 
-BLOCK_LINES, LEAST_BYTES = 1000, 0
-MAX_DIRECTORY = 5_000_000  # blocks whose first keys a look-up may hold
+BLOCK_LINES, LEAST_BYTES, NO_PAGE = 1000, 0, -(1 << 63)
+PIECE = 64 << 20  # bytes of an archive whose records one task reads
 CAPTURE = "key string, page_id long, kind string, refers_to long, digest string, bytes long, file string, at long, size long"
 
 
@@ -40,7 +43,7 @@ CAPTURE = "key string, page_id long, kind string, refers_to long, digest string,
 class Archive:
     root: str
     captures: DataFrame  # stored
-    directory: DataFrame  # stored: first_key, file, at, size, lines
+    tasks: DataFrame  # stored: first and last (key, page_id) of each task that wrote blocks, and its files' name
 
 
 def host_key(url: str | None) -> str:
@@ -50,10 +53,15 @@ def host_key(url: str | None) -> str:
     return ",".join(reversed(rest[:cut].lower().split("."))) + ")" + rest[cut:]
 
 
+def uri(url: str) -> str:
+    """What would end a header's line, percent-encoded."""
+    return url.replace("\r", "%0D").replace("\n", "%0A")
+
+
 def record(page_id, url, payload: bytes, digest: str, kind: str, refers_to) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Target-URI: {json.dumps(url)}", f"WARC-Payload-Digest: sha1:{digest}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", "WARC-Date: 2024-01-01T00:00:00Z", *([] if url is None else [f"WARC-Target-URI: {uri(url)}"]), f"WARC-Payload-Digest: sha1:{digest}"]
     if kind == "revisit":
         head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -72,7 +80,7 @@ def parse(member: bytes) -> dict:
     digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
     if h["WARC-Type"] == "response" and (len(payload) != size or base32_sha1(payload) != digest):
         raise ValueError(f"record {h['WARC-Record-ID']} is broken")
-    return {"page_id": number("WARC-Record-ID"), "url": json.loads(h["WARC-Target-URI"]), "kind": h["WARC-Type"], "refers_to": number("WARC-Refers-To"), "digest": digest, "bytes": size, "payload": payload}
+    return {"page_id": number("WARC-Record-ID"), "url": h.get("WARC-Target-URI"), "kind": h["WARC-Type"], "refers_to": number("WARC-Refers-To"), "digest": digest, "bytes": size, "payload": payload}
 
 
 def base32_sha1(b: bytes) -> str:
@@ -123,15 +131,15 @@ def write(pages: DataFrame, least: int = LEAST_BYTES) -> Archive:
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_fs(root)
-        name, out, at, rows, held = f"{uuid.uuid4().hex}.cdx.gz", None, 0, [], []
+        name, out, at, listed, held, last = uuid.uuid4().hex, None, 0, [], [], None
 
         def close_block():
-            nonlocal out, at, held
-            out = out or fs.open_output_stream(f"{base}/{name}", compression=None)
+            nonlocal out, at, held, last
+            out = out or fs.open_output_stream(f"{base}/{name}.cdx.gz", compression=None)
             z = zlib.compress("\n".join(json.dumps(x) for x in held).encode(), 6)
             out.write(z)
-            rows.append((held[0][0], name, at, len(z), len(held)))
-            at, held = at + len(z), []
+            listed.append((*_place(held[0]), at, len(z)))
+            at, held, last = at + len(z), [], _place(held[-1])
 
         try:
             for b in batches:
@@ -144,13 +152,58 @@ def write(pages: DataFrame, least: int = LEAST_BYTES) -> Archive:
         finally:
             if out:
                 out.close()
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["first_key", "file", "at", "size", "lines"])
+        if listed:
+            with fs.open_output_stream(f"{base}/{name}.dir.gz", compression=None) as f:
+                f.write(zlib.compress(json.dumps(listed).encode(), 6))
+            yield pa.RecordBatch.from_pylist([{"key": listed[0][0], "page": listed[0][1], "last_key": last[0], "last_page": last[1], "file": name, "blocks": len(listed)}], schema=pa.schema([("key", pa.string()), ("page", pa.int64()), ("last_key", pa.string()), ("last_page", pa.int64()), ("file", pa.string()), ("blocks", pa.int64())]))
 
     # the row's place breaks ties: a hot host is cut by its paths, and a hot url by its records
-    ordered = captures.repartitionByRange("key", "file", "at").sortWithinPartitions("key", "file", "at")
-    directory = stored(ordered.transform(mapped, blocks, "first_key string, file string, at long, size long, lines long"), "directory")
-    return Archive(root, captures, directory)
+    ordered = captures.repartitionByRange("key", "page_id", "file", "at").sortWithinPartitions("key", "page_id", "file", "at")
+    tasks = stored(ordered.transform(mapped, blocks, "key string, page long, last_key string, last_page long, file string, blocks long"), "tasks")
+    return Archive(root, captures, tasks)
+
+
+def _place(capture) -> tuple[str, int]:
+    """What captures are sorted by: the key, and the page_id, null before all."""
+    return capture[0], NO_PAGE if capture[1] is None else capture[1]
+
+
+class Index:
+    """Look-ups by bisection: in the list of tasks, in a task's directory, in a block. It holds one directory and one
+    block, so that look-ups in the order of keys read each of them once."""
+
+    def __init__(self, root: str, tasks: list[tuple]):
+        self.fs, self.base = open_fs(root)
+        self.tasks = sorted(tasks)
+        self.firsts = [t[:2] for t in self.tasks]
+        self.held: dict[str, tuple] = {}
+
+    def _directory(self, file: str) -> tuple[list, list]:
+        if self.held.get("dir", (None,))[0] != file:
+            with self.fs.open_input_file(f"{self.base}/{file}.dir.gz") as f:
+                d = json.loads(zlib.decompress(f.read()))
+            self.held["dir"] = file, (d, [tuple(x[:2]) for x in d])
+        return self.held["dir"][1]
+
+    def _block(self, file: str, at: int, size: int) -> tuple[list, list]:
+        if self.held.get("block", (None,))[0] != (file, at):
+            raw = zlib.decompress(next(_ranges(self.fs, self.base, f"{file}.cdx.gz", [(at, size)]))).decode()
+            lines = [json.loads(x) for x in raw.split("\n")]
+            self.held["block"] = (file, at), (lines, [_place(x) for x in lines])
+        return self.held["block"][1]
+
+    def captures(self, least: tuple[str, int], most: tuple[str, int]) -> Iterator[list]:
+        """Capture lines from one place to another, both included."""
+        t = max(0, bisect.bisect_left(self.firsts, least) - 1)
+        for first, last, file in ((x[:2], x[2:4], x[4]) for x in self.tasks[t:]):
+            if first > most:
+                return
+            if last < least:
+                continue
+            d, firsts = self._directory(file)
+            for _, _, at, size in d[max(0, bisect.bisect_left(firsts, least) - 1) : bisect.bisect_right(firsts, most)]:
+                lines, places = self._block(file, at, size)
+                yield from lines[bisect.bisect_left(places, least) : bisect.bisect_right(places, most)]
 
 
 def _ranges(fs, base, file, spans: list[tuple[int, int]]) -> Iterator[bytes]:
@@ -159,57 +212,56 @@ def _ranges(fs, base, file, spans: list[tuple[int, int]]) -> Iterator[bytes]:
             yield f.read_at(size, at)
 
 
-def read_all(archive: Archive) -> DataFrame:
-    """Every record, by the index: blocks give the captures, captures the ranges of the archives."""
-    root = archive.root
+def _tasks(archive: Archive) -> list[tuple]:
+    """One row for each task that wrote blocks: as many as the range partitioning has parts."""
+    return [tuple(r) for r in archive.tasks.select("key", "page", "last_key", "last_page", "file").collect()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = open_fs(root)
+
+def records_of(archive: Archive, pages: DataFrame) -> DataFrame:
+    """The records of the given pages (page_id, url), each by a look-up in the index and a range of its archive."""
+    root, tasks = archive.root, _tasks(archive)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for file, at, size in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                lines = [json.loads(x) for x in zlib.decompress(next(_ranges(fs, base, file, [(at, size)]))).decode().split("\n")]
-                yield _capture_batch(lines)
+            yield pa.RecordBatch.from_arrays([pa.array([host_key(u) for u in b.column(0).to_pylist()], pa.string()), b.column(1)], ["key", "page"])
 
-    listed = archive.directory.select("file", "at", "size").repartition(F.col("file")).transform(mapped, run, CAPTURE)
+    def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(root, tasks)
+        for b in batches:
+            got = [x for at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in index.captures(at, at)]
+            if got:
+                yield _capture_batch(got)
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_fs(root)
+        kinds = {"page_id": pa.int64(), "bytes": pa.int64(), "digest": pa.string(), "kind": pa.string(), "refers_to": pa.int64(), "url": pa.string()}
         for b in batches:
             by: dict[str, list[tuple[int, int]]] = {}
             for f, at, size in zip(*(b.column(n).to_pylist() for n in ("file", "at", "size")), strict=True):
                 by.setdefault(f, []).append((at, size))
             for f, spans in by.items():
-                got = [parse(m) for m in _ranges(fs, base, f, sorted(spans))]
-                kinds = {"page_id": pa.int64(), "bytes": pa.int64(), "digest": pa.string(), "kind": pa.string(), "refers_to": pa.int64(), "url": pa.string()}
+                got = [{k: v for k, v in parse(m).items() if k != "payload"} for m in _ranges(fs, base, f, sorted(spans))]
                 yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], t) for k, t in kinds.items()], list(kinds))
 
+    asked = pages.select("url", F.coalesce(F.col("page_id").cast("long"), F.lit(NO_PAGE)).alias("page")).transform(mapped, keyed, "key string, page long").distinct()
+    found = asked.repartitionByRange("key", "page").sortWithinPartitions("key", "page").transform(mapped, seek, CAPTURE)
     # each archive's records together and in order: a task reads its files from front to back
-    spread = listed.repartition(F.col("file"), F.floor(F.col("at") / (64 << 20))).sortWithinPartitions("file", "at")
+    spread = found.repartition(F.col("file"), F.floor(F.col("at") / PIECE)).sortWithinPartitions("file", "at")
     return spread.transform(mapped, records, "page_id long, bytes long, digest string, kind string, refers_to long, url string")
 
 
 def look_up(archive: Archive, urls: list[str]) -> list[dict]:
-    """The records of a few urls, read by range."""
-    n = archive.directory.count()
-    if n > MAX_DIRECTORY:
-        raise ValueError(f"{n} blocks are too many for the driver; look up by a job over the directory")
-    d = sorted(tuple(r) for r in archive.directory.collect())
-    firsts, out = [r[0] for r in d], []
-    fs, base = open_fs(archive.root)
+    """The records of a few urls, whichever page they are of, with their payloads."""
+    index, out = Index(archive.root, _tasks(archive)), []
     for url in urls:
-        key = host_key(url)
-        i = max(0, bisect.bisect_left(firsts, key) - 1)
-        while i < len(d) and firsts[i] <= key:
-            block = zlib.decompress(next(_ranges(fs, base, d[i][1], [(d[i][2], d[i][3])]))).decode().split("\n")
-            for line in map(json.loads, block):
-                if line[0] == key:
-                    out += [parse(m) for m in _ranges(fs, base, line[6], [(line[7], line[8])])]
-            i += 1
+        for x in index.captures((host_key(url), NO_PAGE), (host_key(url), (1 << 63) - 1)):
+            out += [parse(m) for m in _ranges(index.fs, index.base, x[6], [(x[7], x[8])])]
     return out
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = read_all(write(table(spark, sf_dir, "pages")))
+    pages = table(spark, sf_dir, "pages")
+    r = records_of(write(pages), pages)
     return r.select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
 
 
