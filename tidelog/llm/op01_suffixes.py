@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import by_group, forget, mapped, stored, table, text_of
 
-SIZE, GRAM, HOT, CHUNK = 400, 128, 5000, 4000
+SIZE, GRAM, HOT, CHUNK = 400, 128, 1000, 4000
 #: Passages of over 50 words may have fewer bytes than SIZE; short words, 200.
 PASSAGE, PASSAGE_GRAM, PASSAGE_WORDS = 200, 64, 50
 #: Anchors of one gram that make it hot, and the part of the anchors that is looked at for that.
