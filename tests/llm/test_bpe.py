@@ -103,3 +103,14 @@ def test_every_word_goes_through_the_transducer_and_the_decoder(monkeypatch):
     n, ids, decoded = own.summaries(pa.array(["alpha beta gamma beta", "beta unlikelyword" + "q" * 300, ""]))
     assert own.merges._transducer.words == 4 and len(fed) >= 4
     assert [len(x.split()) for x in ids.to_pylist()] == n.tolist()
+
+
+def test_pairs_that_stay_apart():
+    """The rule of the boundary against merging both tokens' symbols."""
+    own, rng = bpe.WordTokenizer(op.tokenizer_path()), random.Random(3)
+    own.merges.word(b"a")
+    t = own.merges._transducer
+    ids = [i for i in sorted(t.parts)[:3000] if t.whole(i) and not t.m.text[i].endswith("</w>")]
+    for _ in range(4000):
+        a, b = rng.choice(ids), rng.choice(ids)
+        assert t._stay_apart(a, b) == (t.m.merged([*t.parts[a], *t.parts[b]]) == [a, b])

@@ -142,6 +142,8 @@ class Transducer:
         self.edges, self.tokens, self.lookahead, self.parts = merges.tables()
         self.pairs: dict[int, bool] = {}
         self.stays: dict[int, bool] = {}
+        #: a token's last merge: its rank (-1 for symbols), and the two tokens that it joins
+        self.split: dict[int, tuple[int, int, int]] = {i: (-1, i, i) for i in {*merges.first, *merges.last}}
         self.most_kept = self.words = 0
 
     def compatible(self, a: int, b: int) -> bool:
@@ -149,9 +151,37 @@ class Transducer:
         if (ok := self.pairs.get(k)) is None:
             if len(self.pairs) > 1_000_000:
                 self.pairs.clear()
-            ok = self.pairs[k] = self.m.merged([*self.parts[a], *self.parts[b]]) == [a, b]
+            ok = self.pairs[k] = self._stay_apart(a, b)
         return ok
 
+    def _stay_apart(self, a: int, b: int) -> bool:
+        """Whether no merge joins the two. Backwards in time, the later made of the two tokens at the boundary is undone;
+        what stands there, x and y, would be joined if their rank comes before both are used up: x by a merge
+        on its left, which goes first among equals, y by one on its right."""
+        x, y = a, b
+        x_used = y_used = NONE
+        while True:
+            q = self.m.rank.get(x << 20 | y, NONE)
+            if q < x_used and q <= y_used and q != NONE:
+                return False
+            (rx, _, xr), (ry, yl, _) = self._made(x), self._made(y)
+            if rx < 0 and ry < 0:
+                return True
+            if rx > ry:
+                x, x_used = xr, rx
+            else:
+                y, y_used = yl, ry
+
+    def _made(self, t: int) -> tuple[int, int, int]:
+        if (at := self.split.get(t)) is None:
+            ids, rank = [*self.parts[t]], self.m.rank
+            while len(ids) > 2:  # all merges but the last
+                ranks = [rank.get(u << 20 | v, NONE) for u, v in zip(ids, ids[1:], strict=False)]
+                i = ranks.index(min(ranks))
+                ids[i : i + 2] = [self.m.made[ranks[i]]]
+            at = self.split[t] = rank[ids[0] << 20 | ids[1]], *ids
+        return at
+
     def whole(self, t: int) -> bool:
         """A token's symbols encode to the token."""
         if (ok := self.stays.get(t)) is None:
@@ -160,10 +190,10 @@ class Transducer:
 
     def encode(self, symbols: Iterable[int]) -> Iterator[int]:
         self.words += 1
-        step, token, pairs = self.edges.get, self.tokens.get, self.pairs.get
+        step, token, pairs, stays = self.edges.get, self.tokens.get, self.pairs.get, self.stays.get
         # ends[i]: (last token, its start) at kept ends; base is where emitted tokens stop
         ends: dict[int, tuple[int, int]] = {}
-        base, i, before = 0, 0, None
+        base, i, before, most = 0, 0, None, 2 * self.lookahead
         active = [(0, 0)]  # ends that tokens may go on from, and where these are in the trie
         for s in symbols:
             i += 1
@@ -172,23 +202,23 @@ class Transducer:
                 if (node := step(node << 20 | s)) is None:
                     continue
                 going.append((start, node))
-                if found is None and (t := token(node)) is not None and self.whole(t):
+                if found is None and (t := token(node)) is not None and (stays(t) or self.whole(t)):
                     prev = before if start == base else ends[start][0]
-                    ok = True if prev is None else pairs(prev << 20 | t)
-                    if self.compatible(prev, t) if ok is None else ok:
+                    if prev is None or pairs(prev << 20 | t) or self.compatible(prev, t):
                         found = t, start
             if found:
                 ends[i] = found
                 going.append((i, 0))
             active = going
-            if i - base > 2 * self.lookahead:
+            if i - base > most:
+                self.most_kept = max(self.most_kept, len(ends))
                 for t, at in self._stable(ends, base, i):
                     yield t
                     before, base = t, at
                 for e in [e for e in ends if e <= base]:
                     del ends[e]
                 active = [x for x in active if x[0] >= base]
-            self.most_kept = max(self.most_kept, len(ends))
+        self.most_kept = max(self.most_kept, len(ends))
         path, at = [], i
         while at > base:
             t, at = ends[at]
@@ -225,12 +255,15 @@ class Decoder:
 
     def feed(self, ids: Iterable[int]) -> str:
         out = []
+        if not self.byte_level:  # no decoder in the file: the tokens' own strings with spaces between
+            out = [self.special.get(i) or self.text[i] for i in ids]
+            if out and self.started:
+                out.insert(0, "")
+            self.started = self.started or bool(out)
+            return " ".join(out)
         for i in ids:
             t = self.special.get(i) or self.text[i]
-            if not self.byte_level:  # no decoder in the file: the tokens' own strings with spaces between
-                out.append(" " + t if self.started else t)
-                self.started = True
-            elif i in self.special:
+            if i in self.special:
                 out.append(self.utf8.decode(b"", True) + t)
                 self.utf8.reset()
             else:

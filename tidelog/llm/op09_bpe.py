@@ -1,7 +1,7 @@
 """BPE encoding and decoding: see `bpe` for the transducer, its lookahead, and the decoder.
 
 One pass without a shuffle; memory is a batch of texts, bounded memos and, for a word of any length, the ends
-since the last stable token.
+since the last stable token. Texts of any length are encoded whole.
 
 Defined results: null or empty text has no ids and an empty decoded text; rows that repeat give rows that repeat.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,12 +26,18 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+@lru_cache(maxsize=1)
+def _tokenizer(path: str) -> bpe.WordTokenizer:
+    """One for each worker, whose memos the next task finds."""
+    return bpe.WordTokenizer(path)
+
+
 def round_trip(docs: DataFrame, path: str | None = None, keep_text: bool = False) -> DataFrame:
     """docs: doc_id, text. Digests of ids and decoded text; with keep_text also both themselves."""
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = bpe.WordTokenizer(path)
+        tok = _tokenizer(path)
         for b in batches:
             n, ids, decoded = tok.summaries(b.column(1))
             digest = lambda a: pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in a], pa.string())
