@@ -2,7 +2,8 @@
 
 Texts are cut at single spaces; most chunks have been met before, and their ids come from a bounded memo.
 
-Every new word, of any length, goes through `Transducer`: the merge list gives M, the length of its longest token.
+Every new word, of any length, goes through `Transducer` (one that ends within its window is settled there, in one
+search; a longer one is streamed): the merge list gives M, the length of its longest token.
 The tokens of a text's first i symbols are the tokens up to the last one's start, and the last one; and the
 tokens of a whole text, cut at a token's end, are the tokens of that part. So the final tokens pass through one
 of the last M ends, and what the paths to all of these share is stable: it is emitted, and only the ends since
@@ -113,7 +114,8 @@ class Merges:
     def word(self, word: bytes) -> list[int]:
         if self._transducer is None:
             self._transducer = Transducer(self)
-        return list(self._transducer.encode(self.symbols(word)))
+        symbols = self.symbols(word)
+        return self._transducer.settle(symbols) if len(symbols) <= 2 * self._transducer.lookahead else list(self._transducer.encode(symbols))
 
     def tables(self):
         """(edges and ends of a trie of tokens' symbols, M, a token's symbols) for tokens that merges make."""
@@ -188,6 +190,38 @@ class Transducer:
             ok = self.stays[t] = self.m.merged([*self.parts[t]]) == [t]
         return ok
 
+    def settle(self, symbols: list[int]) -> list[int]:
+        """A word that ends within the lookahead's window, which is settled at its end: the one path of compatible
+        tokens, the longest tried first. Of each place at most one last token is right, so a place from which no path
+        leads on is tried once."""
+        self.words += 1
+        step, token, pairs, stays, n = self.edges.get, self.tokens.get, self.pairs.get, self.stays.get, len(symbols)
+        path: list[tuple[int, int, list]] = []
+        dead: set[int] = set()
+
+        def from_(at):
+            node, out = 0, []
+            for j in range(at, n):
+                if (node := step(node << 20 | symbols[j])) is None:
+                    break
+                if (t := token(node)) is not None and (stays(t) or self.whole(t)):
+                    out.append((t, j + 1))
+            return out
+
+        before, at, left = None, 0, from_(0)
+        while at < n:
+            while left:
+                t, end = left.pop()
+                if end not in dead and (before is None or pairs(before << 20 | t) or self.compatible(before, t)):
+                    path.append((t, at, left))
+                    before, at, left = t, end, from_(end)
+                    break
+            else:
+                dead.add(at)
+                _, at, left = path.pop()
+                before = path[-1][0] if path else None
+        return [t for t, _, _ in path]
+
     def encode(self, symbols: Iterable[int]) -> Iterator[int]:
         self.words += 1
         step, token, pairs, stays = self.edges.get, self.tokens.get, self.pairs.get, self.stays.get
