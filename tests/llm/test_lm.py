@@ -111,3 +111,34 @@ def test_causal():
     ys[0, -1] = (ys[0, -1] + 1) % 5
     b = op._forward(net, ys, ok)
     assert np.allclose(a[0, :-1], b[0, :-1], atol=1e-5) and not np.allclose(a[0, -1], b[0, -1], atol=1e-5)
+
+
+def test_every_training_document_reaches_the_network(spark):
+    """Each of 5,000 documents has a word with a subword of its own, whose vector is trained; tasks share the rows."""
+    chars = set("abcdefghijklmnopqrstuvwxyz")
+    vocabulary = sorted(t[:-4] for t in op.bpe.WordTokenizer(op.tokenizer_path()).merges.text.values() if t.endswith("</w>") and len(t) > 6 and set(t[:-4]) <= chars)[:5000]
+    docs = spark.createDataFrame([(i, f"{w} {w}") for i, w in enumerate(vocabulary)], "doc_id long, text string").repartition(3)
+    m = op.train(docs, op.stored(op.word_counts(docs), "counts"), op.tokenizer_path())
+    start = (np.random.default_rng(2).standard_normal(m.net["E"].shape) * 0.2).astype(np.float32)
+    own = m.enters[[m.index[w] for w in vocabulary]]
+    assert len(set(own.tolist())) == 5000 and (m.net["E"][own] != start[own]).any(axis=1).all()
+
+
+def test_rounds_share_out_all_documents(spark, monkeypatch):
+    """Every window of every training document is trained on once where there are enough; held-out ones never."""
+    monkeypatch.setattr(op, "STEPS", 1)
+    monkeypatch.setattr(op, "BATCH", 8)
+    docs = spark.createDataFrame([(i, f"some text number {i} " * 20) for i in range(700)], "doc_id long, text string").repartition(3)
+    codes = op.stored(op.coded(docs, op.held_out(op.F.col("doc_id"))), "codes")
+    windows = sum(-(-(len(words(f"some text number {i} " * 20)) + 1) // op.HOP) for i in range(700) if zlib.crc32(str(i).encode()) % 10)
+    seen, summed = [], op.summed
+
+    def watched(codes, run):
+        got = summed(codes, run)
+        seen.append(got)
+        return got
+
+    monkeypatch.setattr(op, "summed", watched)
+    op.train(docs, op.stored(op.counted(codes), "counts"), op.tokenizer_path(), codes)
+    places = sum(float(got[-1][-1]) for got in seen if -1 in got)
+    assert len([1 for got in seen if -1 in got]) == len(op.ROUNDS) and places == windows * 2 * op.HOP

@@ -7,9 +7,13 @@ the class's count. Classes are clusters of the `TOP_WORDS` most frequent words b
 a word that the training rows have not is a class of its own, which stands for all such words (as in the base), and
 which is learned from words with a count of 1; the end is a class of its own, too.
 
-What is gathered. Counts are those of all training words, by one shuffle; the most frequent ones, a bounded
-number, go to all executors, and the rest of the words meet their counts in a join. Classes and weights of the
-network are fitted on at most SAMPLE_DOCS training documents (by hash).
+What is gathered, always of all training rows. Texts are split once, into stored lists of distinct words and places
+in them. Counts are by one shuffle; the most frequent ones, a bounded number, go to all executors, and the rest of
+the words meet their counts in a join. Classes: every pass of the subspace iteration goes over all training documents,
+tasks give sums. Weights: each training document is trained on in one of the `ROUNDS`, which share all documents out;
+a round's tasks start from the same weights, and the next round from the mean of theirs. Small tables are gone over
+until the network has had STEPS batches. Where there are words beyond the most frequent ones, a place of such a word
+is, in training, one of an unseen word by the share that words with a count of 1 have in all such places.
 
 Scoring. Windows of 2 * HOP tokens overlap by half: each token is scored once, in the window where at
 least HOP tokens stand before it (or its text begins), with masked attention over batches of windows.
@@ -33,13 +37,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import bpe
-from tidelog.llm.common import mapped, stored, table, text_of
+from tidelog.llm.common import forget, mapped, stored, table, text_of
 from tidelog.llm.op09_bpe import tokenizer_path
 
-TOP_WORDS, SAMPLE_DOCS, CLASSES, WIDTH, HOP, STEPS, BATCH = 150_000, 2000, 32, 16, 32, 400, 96
+TOP_WORDS, CLASSES, WIDTH, HOP, STEPS, BATCH = 150_000, 32, 16, 32, 400, 96
 START = 49406
-#: Texts that a task looks at in one go, and distinct words that it counts, for memory.
-ROWS, COUNTED = 1000, 200_000
+#: Texts that are kept, and looked at, in one go, and distinct words that a task counts, for memory.
+ROWS, COUNTED = 200, 200_000
+#: Passes and width of the subspace iteration, words of one row of its sums.
+PASSES, SKETCH, CHUNK = 3, 16, 4096
+#: The parts of all documents (in PIECES) that the rounds of training end at, and their first rates.
+PIECES, ROUNDS, RATE = 16, ((2, 0.02), (6, 0.015), (16, 0.01)), 0.02
 #: Classes after the clusters: other words of the training rows, the end, unseen words.
 RARE, END, UNSEEN = CLASSES, CLASSES + 1, CLASSES + 2
 
@@ -63,7 +71,39 @@ def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS))
 
 
-def word_counts(train: DataFrame) -> DataFrame:
+CODED = "row long, ids array<long>, held array<boolean>, words string, at binary, bounds binary, learned long, windows long"
+
+
+def coded(docs: DataFrame, held) -> DataFrame:
+    """ROWS texts in a row: their ids, whether they are held out, their distinct words, and each text's places in these;
+    texts to learn from, and their windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 40
+        for b in sliced(batches):
+            at, words, bounds = words_of(b.column(2))
+            learned = ~b.column(1).to_numpy(zero_copy_only=False)
+            windows = int((-(-(np.diff(bounds) + 1) // HOP))[learned].sum())
+            whole = lambda c: pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), c)  # noqa: E731, B023
+            values = [[row], whole(b.column(0)), whole(b.column(1)), [" ".join(words)], [at.astype("<i4").tobytes()], [bounds.astype("<i8").tobytes()], [int(learned.sum())], [windows]]
+            yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in values], [c.split()[0] for c in CODED.split(", ")])
+            row += 1
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), text_of().alias("text")).transform(mapped, run, CODED)
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(row, ids, held, places, words, bounds) of each coded row."""
+    for b in batches:
+        for i in range(b.num_rows):
+            words = b.column(3)[i].as_py()
+            at, bounds = (np.frombuffer(b.column(k)[i].as_buffer(), dtype=t) for k, t in ((4, "<i4"), (5, "<i8")))
+            yield b.column(0)[i].as_py(), b.column(1)[i].values, b.column(2)[i].values, at, words.split(" ") if words else [], bounds
+
+
+def counted(codes: DataFrame) -> DataFrame:
     """word, c: of all training words. A task counts COUNTED distinct words before it sends them on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,15 +112,20 @@ def word_counts(train: DataFrame) -> DataFrame:
         def out():
             return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
 
-        for b in sliced(batches):
-            at, words, _ = words_of(b.column(0))
-            n.update(dict(zip(words, np.bincount(at, minlength=len(words)).tolist(), strict=True)))
+        for _, _, held, at, words, bounds in rows_of(batches):
+            learned = np.repeat(~held.to_numpy(zero_copy_only=False), np.diff(bounds))
+            times = np.bincount(at[learned], minlength=len(words)).tolist()
+            n.update({w: k for w, k in zip(words, times, strict=True) if k})
             if len(n) >= COUNTED:
                 yield out()
                 n.clear()
         yield out()
 
-    return train.select(text_of().alias("text")).transform(mapped, run, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    return codes.transform(mapped, run, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
+
+
+def word_counts(train: DataFrame) -> DataFrame:
+    return counted(coded(train, F.lit(False)))
 
 
 @dataclass
@@ -97,25 +142,92 @@ class Model:
     tokenizer: str
 
 
-def _clusters(rows: np.ndarray, cols: np.ndarray, n_docs: int, n_words: int) -> np.ndarray:
-    """A class for each word that occurs in the sample, -1 for others."""
-    rng, k = np.random.default_rng(1), 12
-    x = rng.standard_normal((n_words, k))
-    mult = lambda src, dst, m, n: np.column_stack([np.bincount(dst, weights=m[src, j], minlength=n) for j in range(k)])
-    dd, dw = np.sqrt(np.bincount(rows, minlength=n_docs) + 1)[:, None], np.sqrt(np.bincount(cols, minlength=n_words) + 1)[:, None]
-    for _ in range(8):
-        q, _ = np.linalg.qr(mult(cols, rows, x / dw, n_docs) / dd)
-        x = mult(rows, cols, q / dd, n_words) / dw
-    x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-12
-    seen = np.flatnonzero(np.bincount(cols, minlength=n_words))
-    c = x[rng.choice(seen, min(CLASSES, len(seen)), replace=False)]
+class FirstId(dict):
+    """A word's first subword id, by the library's model of the file (words are not normalised or split further)."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.chars = self.tokenizer.model, bpe.byte_chars()
+
+    def __missing__(self, word: str) -> int:
+        plain = word if word.isascii() and word.isprintable() else "".join([self.chars[b] for b in word.encode()])
+        got = self.model.tokenize(plain)
+        v = got[0].id if got else 0
+        if len(word) <= 64:
+            if len(self) >= COUNTED:
+                self.clear()
+            self[word] = v
+        return v
+
+
+def summed(codes: DataFrame, run) -> dict[int, np.ndarray]:
+    """run: coded rows to (key, vector) of a task; each key's sum over all tasks. There are as many tasks as cores, twice,
+    whatever the input, so that what they send does not grow with it."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, v in run(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.astype("<f4").tobytes()], pa.binary())], ["k", "v"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                x = np.frombuffer(v.as_buffer(), dtype="<f4")
+                out[k] = out[k] + x if k in out else x.astype(np.float64)
+        for k, x in out.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.astype("<f4").tobytes()], pa.binary())], ["k", "v"])
+
+    cores = codes.sparkSession.sparkContext.defaultParallelism
+    sums = codes.coalesce(2 * cores).transform(mapped, part, "k int, v binary").repartition(cores, "k").transform(mapped, add, "k int, v binary")
+    return {r.k: np.frombuffer(r.v, dtype="<f4") for r in sums.collect()}  # some 10 MB
+
+
+def _clusters(codes: DataFrame, index, count: np.ndarray) -> np.ndarray:
+    """A class for each top word, by the training documents that it occurs in. index: broadcast."""
+    rng, n = np.random.default_rng(1), len(count)
+    x, df = rng.standard_normal((n, SKETCH)), count.astype(np.float64)
+    for _ in range(PASSES):
+        sent = codes.sparkSession.sparkContext.broadcast((x / np.sqrt(df + 1)[:, None]).astype(np.float32))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[tuple]:
+            z, places = sent.value, index.value
+            out = np.zeros((n, SKETCH + 1), dtype=np.float32)
+            for _, _, held, at, words, bounds in rows_of(batches):
+                place = np.array([places.get(w, -1) for w in words], dtype=np.int64)
+                size = np.diff(bounds)
+                doc = np.repeat(np.arange(len(size)), size)
+                ok = ~held.to_numpy(zero_copy_only=False)[doc]
+                if not ok.any():
+                    continue
+                pair = np.unique(doc[ok] * len(words) + at[ok])
+                d, w = pair // len(words), pair % len(words)
+                top = place[w] >= 0
+                d, w = d[top], w[top]
+                degree = np.bincount(d, minlength=len(size)) + 1.0
+                y = np.column_stack([np.bincount(d, weights=v[w], minlength=len(size)) for v in np.where(place[:, None] >= 0, z[place], 0).T]) / degree[:, None]
+                got = np.column_stack([*(np.bincount(w, weights=v[d], minlength=len(words)) for v in y.T), np.bincount(w, minlength=len(words))])
+                out[place[place >= 0]] += got[place >= 0].astype(np.float32)  # a word stands once in a row's list
+            for k in range(0, n, CHUNK):
+                if out[k : k + CHUNK, SKETCH].any():
+                    yield k // CHUNK, out[k : k + CHUNK].ravel()
+
+        sums = np.zeros((n, SKETCH + 1))
+        for k, v in summed(codes, run).items():
+            sums[k * CHUNK : (k + 1) * CHUNK] = v.reshape(-1, SKETCH + 1)
+        sent.unpersist()
+        df = sums[:, SKETCH]
+        x = sums[:, :SKETCH] / np.sqrt(df + 1)[:, None]
+        last, x = x, np.linalg.qr(x)[0] if n >= SKETCH else x
+    x = last / (np.linalg.norm(last, axis=1, keepdims=True) + 1e-12)
+    c = x[rng.choice(n, min(CLASSES, n), replace=False)]
     for _ in range(15):
-        best = (x[seen] @ c.T).argmax(1)
-        c = np.column_stack([np.bincount(best, weights=x[seen, j], minlength=len(c)) for j in range(k)])
+        best = (x @ c.T).argmax(1)
+        c = np.column_stack([np.bincount(best, weights=x[:, j], minlength=len(c)) for j in range(x.shape[1])])
         c /= np.linalg.norm(c, axis=1, keepdims=True) + 1e-12
-    out = np.full(n_words, -1)
-    out[seen] = best
-    return out
+    return best
 
 
 def _windows(n: int) -> np.ndarray:
@@ -125,61 +237,174 @@ def _windows(n: int) -> np.ndarray:
 
 def _forward(net, x, ok, train=False):
     """x: (B, 2 HOP) subword ids that stand before each place, ok: places inside the text. Logits of the last HOP."""
+    n = len(x)
     h = net["E"][x] + net["P"]
-    q, k, v = h[:, HOP:] @ net["Q"], h @ net["K"], h @ net["V"]
-    s = q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5)
-    mask = ok[:, None, :] & (np.arange(2 * HOP)[None, None, :] <= np.arange(HOP, 2 * HOP)[None, :, None])
-    s = np.where(mask, s, np.float32(-1e9))
-    s = np.exp(s - s.max(-1, keepdims=True))
-    s /= s.sum(-1, keepdims=True)
+    here, flat = np.ascontiguousarray(h[:, HOP:]).reshape(-1, WIDTH), h.reshape(-1, WIDTH)
+    q = (here @ (net["Q"] * np.float32(WIDTH**-0.5))).reshape(n, HOP, WIDTH)
+    k, v = (flat @ net["K"]).reshape(n, 2 * HOP, WIDTH), (flat @ net["V"]).reshape(n, 2 * HOP, WIDTH)
+    s = q @ k.transpose(0, 2, 1)
+    s += BEFORE
+    if not ok.all():
+        s += np.where(ok, np.float32(0), np.float32(-1e9))[:, None, :]
+    s -= s.max(-1, keepdims=True)
+    np.exp(s, out=s)
+    total = s @ np.ones((2 * HOP, 1), dtype=np.float32)
     a = s @ v
-    y = h[:, HOP:] + a @ net["O"]
-    logits = y @ net["W"] + net["b"]
-    return (logits, (h, q, k, v, s, a, y)) if train else logits
+    a /= total
+    y = here + a.reshape(-1, WIDTH) @ net["O"]
+    logits = (y @ net["W"] + net["b"]).reshape(n, HOP, -1)
+    if not train:
+        return logits
+    s /= total
+    return logits, (h, q, k, v, s, a, y)
 
 
-def _train(xs: np.ndarray, oks: np.ndarray, ys: np.ndarray, n_sub: int, n_out: int) -> dict[str, np.ndarray]:
-    """Adam on cross-entropy; ys: (N, HOP) classes, -1 outside."""
+#: What a place may not look at: those after it.
+BEFORE = np.where(np.arange(2 * HOP)[None, None, :] <= np.arange(HOP, 2 * HOP)[None, :, None], np.float32(0), np.float32(-1e9))
+
+
+def _fresh(n_sub: int, log_share: np.ndarray) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(2)
     init = lambda *s: (rng.standard_normal(s) * 0.2).astype(np.float32)
-    net = {"E": init(n_sub, WIDTH), "P": init(2 * HOP, WIDTH), "Q": init(WIDTH, WIDTH), "K": init(WIDTH, WIDTH), "V": init(WIDTH, WIDTH), "O": init(WIDTH, WIDTH), "W": init(WIDTH, n_out)}
-    f = np.bincount(ys[ys >= 0], minlength=n_out) + 1.0
-    net["b"] = np.log(f / f.sum()).astype(np.float32)
-    m = {k: np.zeros_like(v) for k, v in net.items()}
-    r = {k: np.zeros_like(v) for k, v in net.items()}
-    for step in range(1, STEPS + 1):
-        i = rng.choice(len(xs), min(BATCH, len(xs)), replace=False)
-        x, ok, y = xs[i], oks[i], ys[i]
+    net = {"E": init(n_sub, WIDTH), "P": init(2 * HOP, WIDTH), "Q": init(WIDTH, WIDTH), "K": init(WIDTH, WIDTH), "V": init(WIDTH, WIDTH), "O": init(WIDTH, WIDTH), "W": init(WIDTH, len(log_share))}
+    return net | {"b": log_share.astype(np.float32)}
+
+
+class Adam:
+    """Steps on cross-entropy. y: (B, HOP) classes, -1 outside. A place of class RARE is one of UNSEEN by `unseen`."""
+
+    def __init__(self, net: dict[str, np.ndarray], unseen: float = 0.0):
+        self.net, self.unseen, self.steps = net, unseen, 0
+        self.m, self.r = ({k: np.zeros_like(v) for k, v in net.items()} for _ in range(2))
+
+    def step(self, x, ok, y, rate: float) -> None:
+        net, m, r = self.net, self.m, self.r
+        n = len(x)
         logits, (h, q, k, v, s, a, out) = _forward(net, x, ok, True)
-        p = np.exp(logits - logits.max(-1, keepdims=True))
-        p /= p.sum(-1, keepdims=True)
-        here = y >= 0
-        d = p.copy()
-        d[here, y[here]] -= 1
-        d *= here[..., None] / max(1, here.sum())
-        g = {"W": np.einsum("btw,btc->wc", out, d), "b": d.sum((0, 1))}
+        d = logits - logits.max(-1, keepdims=True)
+        np.exp(d, out=d)
+        d /= d.sum(-1, keepdims=True)
+        d, flat = d.reshape(n * HOP, -1), y.ravel()
+        here = np.flatnonzero(flat >= 0)
+        d[here, flat[here]] -= 1
+        if self.unseen:
+            rare = np.flatnonzero(flat == RARE)
+            d[rare, RARE] += self.unseen
+            d[rare, UNSEEN] -= self.unseen
+        d *= ((flat >= 0) / np.float32(max(1, len(here)))).astype(np.float32)[:, None]
+        g = {"W": out.T @ d, "b": d.sum(0)}
         dy = d @ net["W"].T
-        g["O"] = np.einsum("btw,btv->wv", a, dy)
-        da = dy @ net["O"].T
+        g["O"] = a.reshape(-1, WIDTH).T @ dy
+        da = (dy @ net["O"].T).reshape(n, HOP, WIDTH)
         dv = s.transpose(0, 2, 1) @ da
         ds = da @ v.transpose(0, 2, 1)
-        ds = s * (ds - (ds * s).sum(-1, keepdims=True)) * np.float32(WIDTH**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        g["Q"], g["K"], g["V"] = np.einsum("btw,btv->wv", h[:, HOP:], dq), np.einsum("btw,btv->wv", h, dk), np.einsum("btw,btv->wv", h, dv)
-        dh = dk @ net["K"].T + dv @ net["V"].T
-        dh[:, HOP:] += dy + dq @ net["Q"].T
+        ds -= (da * a).sum(-1, keepdims=True)
+        ds *= s
+        # q is scaled already
+        dk = (ds.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)
+        dq = (ds @ k).reshape(-1, WIDTH) * np.float32(WIDTH**-0.5)
+        dv, all_, last = dv.reshape(-1, WIDTH), h.reshape(-1, WIDTH), np.ascontiguousarray(h[:, HOP:]).reshape(-1, WIDTH)
+        g["Q"], g["K"], g["V"] = last.T @ dq, all_.T @ dk, all_.T @ dv
+        dh = (dk @ net["K"].T + dv @ net["V"].T).reshape(n, 2 * HOP, WIDTH)
+        dh[:, HOP:] += (dy + dq @ net["Q"].T).reshape(n, HOP, WIDTH)
         g["P"] = dh.sum(0)
-        ids, back = np.unique(x, return_inverse=True)
-        ge = np.zeros((len(ids), WIDTH), dtype=np.float32)
-        np.add.at(ge, back.ravel(), dh.reshape(-1, WIDTH))
-        rate = 0.02 * min(1, step / 20) * (1 - step / (STEPS + 1))
-        for n in net:
-            at = ids if n == "E" else slice(None)
-            gn = ge if n == "E" else g[n].astype(np.float32)
-            m[n][at] = 0.9 * m[n][at] + 0.1 * gn
-            r[n][at] = 0.99 * r[n][at] + 0.01 * gn * gn
-            net[n][at] -= np.float32(rate) * m[n][at] / (np.sqrt(r[n][at]) + 1e-7)
-    return net
+        order = np.argsort(x, axis=None, kind="stable")
+        ids = x.ravel()[order]
+        starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        ids, ge = ids[starts], np.add.reduceat(dh.reshape(-1, WIDTH)[order], starts, axis=0)
+        self.steps += 1
+        rate *= min(1, self.steps / 20)
+        for p in net:
+            at = ids if p == "E" else slice(None)
+            gn = ge if p == "E" else g[p].astype(np.float32)
+            m[p][at] = 0.9 * m[p][at] + 0.1 * gn
+            r[p][at] = 0.99 * r[p][at] + 0.01 * gn * gn
+            net[p][at] -= np.float32(rate) * m[p][at] / (np.sqrt(r[p][at]) + 1e-7)
+
+
+def _train(xs: np.ndarray, oks: np.ndarray, ys: np.ndarray, n_sub: int, n_out: int) -> dict[str, np.ndarray]:
+    """STEPS of Adam on windows at hand."""
+    f = np.bincount(ys[ys >= 0], minlength=n_out) + 1.0
+    rng, adam = np.random.default_rng(3), Adam(_fresh(n_sub, np.log(f / f.sum())))
+    for step in range(STEPS):
+        i = rng.choice(len(xs), min(BATCH, len(xs)), replace=False)
+        adam.step(xs[i], oks[i], ys[i], RATE * (1 - (step + 1) / (STEPS + 1)))
+    return adam.net
+
+
+DENSE = ("P", "Q", "K", "V", "O", "W", "b")
+
+
+def _round(codes: DataFrame, sent, net: dict[str, np.ndarray], lo: int, hi: int, n_windows: int, rates: tuple[float, float], unseen: float) -> dict[str, np.ndarray]:
+    """The mean of the weights that tasks reach from `net` on their documents of pieces lo to hi, by their places; a subword's
+    vector is the mean by its places. sent: broadcast (index, target class and subword of each top word, tokenizer)."""
+    spark = codes.sparkSession
+    start = spark.sparkContext.broadcast(net)
+    # few windows: one task, which goes over them more than once
+    tasks = min(2 * spark.sparkContext.defaultParallelism, max(1, n_windows // (STEPS * BATCH)))
+    expected = max(1, n_windows * (hi - lo) // PIECES)
+    epochs = max(1, math.ceil(STEPS * BATCH * (hi - lo) / PIECES / expected))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        index, target, enters, tokenizer = sent.value
+        memo, adam = FirstId(tokenizer), Adam({k: v.copy() for k, v in start.value.items()}, unseen)
+        uses = np.zeros(len(adam.net["E"]), dtype=np.float64)
+        rng, held_back, steps = np.random.default_rng(4), [], max(1, expected * epochs // (tasks * BATCH))
+
+        def learn(parts: list, whole: bool) -> list:
+            x, ok, y = (np.concatenate(c) for c in zip(*parts, strict=True))
+            i = rng.permutation(len(x))
+            n = len(i) if whole else len(i) // BATCH * BATCH
+            for k in range(0, n, BATCH):
+                j = i[k : k + BATCH]
+                adam.step(x[j], ok[j], y[j], rates[0] + (rates[1] - rates[0]) * min(1.0, adam.steps / steps))
+            uses[:] += np.bincount(x[i[:n]].ravel(), minlength=len(uses))
+            return [(x[i[n:]], ok[i[n:]], y[i[n:]])] if n < len(i) else []
+
+        for row, _, held, at, words, bounds in rows_of(batches):
+            size = np.diff(bounds)
+            piece = (((row + np.arange(len(size)) * 1_000_003 + 12345) * 2_654_435_761) >> 16) % PIECES
+            docs = np.flatnonzero(~held.to_numpy(zero_copy_only=False) & (piece >= lo) & (piece < hi))
+            if not len(docs):
+                continue
+            used = np.concatenate([at[bounds[d] : bounds[d + 1]] for d in docs])
+            words, (seen, used) = np.array(words, dtype=object), np.unique(used, return_inverse=True)
+            words = words[seen].tolist()
+            place = np.array([index.get(w, -1) for w in words], dtype=np.int64)
+            sub, cls = np.zeros(len(words), dtype=np.int64), np.full(len(words), RARE)
+            top = place >= 0
+            sub[top], cls[top] = enters[place[top]], target[place[top]]
+            for i in np.flatnonzero(~top).tolist():
+                sub[i] = memo[words[i]]
+            part = _windowed(sub[used], cls[used], size[docs])
+            for _ in range(epochs - 1):
+                learn([part], True)
+            held_back.append(part)
+            if sum(len(p[0]) for p in held_back) >= 20 * BATCH:
+                held_back = learn(held_back, False)
+        if held_back:
+            learn(held_back, True)
+        if adam.steps:
+            yield -1, np.concatenate([*(adam.net[k].ravel() for k in DENSE), [1]]) * uses.sum()
+            both = np.column_stack([adam.net["E"] * uses[:, None], uses])
+            for k in range(0, len(both), CHUNK):
+                if uses[k : k + CHUNK].any():
+                    yield k // CHUNK, both[k : k + CHUNK].ravel()
+
+    got = summed(codes.coalesce(tasks), run)
+    start.unpersist()
+    out = {k: v.copy() for k, v in net.items()}
+    if -1 in got:
+        mean, n = got[-1][:-1] / got[-1][-1], 0
+        for k in DENSE:
+            out[k] = mean[n : n + net[k].size].reshape(net[k].shape).astype(np.float32)
+            n += net[k].size
+    for k, v in got.items():
+        if k >= 0:
+            v = v.reshape(-1, WIDTH + 1)
+            used = np.flatnonzero(v[:, WIDTH])
+            out["E"][k * CHUNK + used] = v[used, :WIDTH] / v[used, WIDTH:]
+    return out
 
 
 def top_words(counts: DataFrame) -> list:
@@ -197,46 +422,39 @@ def top_words(counts: DataFrame) -> list:
     return sorted(top, key=lambda r: (-r.c, r.word))
 
 
-def train(docs: DataFrame, counts: DataFrame, tokenizer: str) -> Model:
-    """docs: training documents; counts: stored."""
-    n_docs = docs.count()
-    t = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+def train(docs: DataFrame, counts: DataFrame, tokenizer: str, codes: DataFrame | None = None) -> Model:
+    """docs: training documents; counts: stored; codes: the coded table that has them, stored, if there is one."""
+    spark = docs.sparkSession
+    codes = codes or stored(coded(docs, F.lit(False)), "codes")
+    all_ = codes.agg(F.sum("learned").alias("docs"), F.sum("windows").alias("windows")).first()
+    n_docs, n_windows = int(all_.docs or 0), int(all_.windows or 0)
+    t = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("once")).first()
     top = top_words(counts)
     index = {r.word: i for i, r in enumerate(top)}
-    tok = bpe.WordTokenizer(tokenizer)
-    pieces = [tok.merges.word(r.word.encode()) for r in top]
-    n_sub = max(tok.merges.text) + 3
+    first = FirstId(tokenizer)
+    enters = np.array([first[r.word] for r in top], dtype=np.int64)
+    n_sub = first.tokenizer.get_vocab_size() + 1
     count = np.array([r.c for r in top], dtype=np.int64)
-    rate = min(1.0, SAMPLE_DOCS / max(1, n_docs))
-    texts = [r.text for r in docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(math.ceil(1_000_000 * rate))).select(text_of().alias("text")).limit(2 * SAMPLE_DOCS).collect()]
-    at, words, bounds = words_of(pa.array(texts, pa.string()))
-    place = np.array([index.get(w, -1) for w in words], dtype=np.int64)
-    seq = place[at] if len(at) else at.astype(np.int64)
-    doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    cls = np.full(len(top), -1)
-    if len(top) and (seq >= 0).any():
-        pairs = np.unique(np.column_stack([doc, seq])[seq >= 0], axis=0)
-        cls = _clusters(pairs[:, 0], pairs[:, 1], len(texts), len(top))
-    # words that the sample has not: the class that most words with their first subword have
-    enters = np.array([p[0] if p else 0 for p in pieces], dtype=np.int64)
-    votes = np.zeros((n_sub, CLASSES), dtype=np.float32)
-    np.add.at(votes, (enters[cls >= 0], cls[cls >= 0]), np.sqrt(count[cls >= 0]))
-    cls = np.where(cls >= 0, cls, votes[enters].argmax(1)) if len(cls) else cls
+    places = spark.sparkContext.broadcast(index)  # TOP_WORDS words at most
+    cls = _clusters(codes, places, count) if len(top) else np.zeros(0, dtype=np.int64)
     total = np.bincount(cls, weights=count + 0.1, minlength=CLASSES) if len(cls) else np.zeros(CLASSES)
     share = np.log((count + 0.1) / total[cls]) if len(cls) else np.zeros(0)
-    # in the sample: what each word would be if it were not there itself
-    names = [(w,) for w, i in zip(words, place, strict=True) if i < 0]
-    some = {r.word for r in docs.sparkSession.createDataFrame(names, "word string").join(counts.filter("c > 1"), "word").select("word").collect()} if names else set()
-    target = np.array([(cls[i] if count[i] > 1 else UNSEEN) if i >= 0 else RARE if w in some else UNSEEN for w, i in zip(words, place, strict=True)], dtype=np.int64)
-    enter_of = np.array([enters[i] if i >= 0 else (tok.merges.word(w.encode()) or [0])[0] for w, i in zip(words, place, strict=True)], dtype=np.int64)
-    xs, oks, ys = [], [], []
-    for d in range(len(texts)):
-        w = at[bounds[d] : bounds[d + 1]]
-        c = np.concatenate([target[w], [END]]) if len(w) else np.array([END])
-        x, ok, y = _laid(np.concatenate([[START], enter_of[w]]) if len(w) else np.array([START]), c)
-        xs.append(x), oks.append(ok), ys.append(y)
-    cat = lambda a: np.concatenate(a) if a else np.zeros((0, 2 * HOP), dtype=np.int64)
-    net = _train(cat(xs), cat(oks), cat(ys), n_sub, CLASSES + 3) if xs else {}
+    # what each word would be if it were not there itself
+    target = np.where(count > 1, cls, UNSEEN)
+    beyond = int(t.n or 0) - int(count.sum())
+    unseen = int(t.once or 0) / beyond if beyond else 0.0  # words with a count of 1 are all among the top ones, or none
+    net = {}
+    if n_docs:
+        f = np.bincount(target, weights=count, minlength=CLASSES + 3) + 1.0
+        f[END] += n_docs
+        f[RARE], f[UNSEEN] = f[RARE] + beyond * (1 - unseen), f[UNSEEN] + beyond * unseen
+        net = _fresh(n_sub, np.log(f / f.sum()))
+        sent, lo = spark.sparkContext.broadcast((index, target, enters, tokenizer)), 0
+        for i, (hi, rate) in enumerate(ROUNDS):
+            net = _round(codes, sent, net, lo, hi, n_windows, (rate, ROUNDS[i + 1][1] if i + 1 < len(ROUNDS) else 0.0), unseen)
+            lo = hi
+        sent.unpersist()
+    places.unpersist()
     return Model(int(t.n or 0) + n_docs, t.v + (n_docs > 0), n_docs, index, count, cls.astype(np.int16), enters.astype(np.int32), share, net, tokenizer)
 
 
@@ -248,26 +466,33 @@ def _laid(x: np.ndarray, y: np.ndarray):
     return x[i].astype(np.int32), ok, np.where(ok[:, HOP:], y[i[:, HOP:]], -1).astype(np.int32)
 
 
+def _windowed(sub: np.ndarray, cls: np.ndarray, sizes: np.ndarray):
+    """The same for texts one after the other, of words alone: their subwords and classes."""
+    xs, oks, ys, n = [], [], [], 0
+    for k in sizes.tolist():
+        x, ok, y = _laid(np.concatenate([[START], sub[n : n + k]]), np.concatenate([cls[n : n + k], [END]]))
+        xs.append(x), oks.append(ok), ys.append(y)
+        n += k
+    return np.concatenate(xs), np.concatenate(oks), np.concatenate(ys)
+
+
 SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<word:string,n:long,rare:double,unseen:double>>"
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
+def scored(codes: DataFrame, model: Model) -> DataFrame:
     """One pass: the model's score and the base score but for rare words, which are listed: how often each occurs,
     and the log probabilities at its places of the two classes that it may have."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # TOP_WORDS words at most
+    sent = codes.sparkSession.sparkContext.broadcast(model)  # TOP_WORDS words at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         m = sent.value
-        tok = bpe.WordTokenizer(m.tokenizer)
         row = TaskContext.get().partitionId() << 40
-
-        memo, den = bpe.Memo(lambda w: tok.merges.word(w.encode())[0]), math.log10(m.n_tokens + 0.1 * (m.n_types + 1))
+        memo, den = FirstId(m.tokenizer), math.log10(m.n_tokens + 0.1 * (m.n_types + 1))
         log_c = np.log10(m.count + 0.1)
         end_base = math.log10(m.ends + 0.1) - den
-        for b in sliced(batches):
-            at, words, bounds = words_of(b.column(2))
+        for _, ids, held, at, words, bounds in rows_of(batches):
             n = len(bounds) - 1
             place = np.array([m.index.get(w, -1) for w in words], dtype=np.int64)
             rare = np.flatnonzero(place < 0)
@@ -290,8 +515,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 per = -(-size // HOP)
                 wd = np.repeat(np.arange(n), per)
                 ws = (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)) * HOP - HOP
-                for k in range(0, len(wd), 256):
-                    d, s = wd[k : k + 256], ws[k : k + 256]
+                for k in range(0, len(wd), 64):
+                    d, s = wd[k : k + 64], ws[k : k + 64]
                     i = s[:, None] + np.arange(2 * HOP)[None, :]
                     ok = (i >= 0) & (i < size[d][:, None])
                     i = np.where(ok, i, 0) + first[d][:, None]
@@ -309,18 +534,18 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             names = pa.array(words, pa.string()).take(pa.array(pair & 0xFFFFFFFF))
             offsets = np.searchsorted(pair >> 32, np.arange(n + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([names, pa.array(times, pa.int64()), *map(pa.array, sums)], ["word", "n", "rare", "unseen"]))
-            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), b.column(0), b.column(1), pa.array(size), pa.array(known), pa.array(bases), pa.array(scores / math.log(10)), lists], [c.split()[0] for c in SCORED.split(", ")[:7]] + ["rare"])
+            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), ids, held, pa.array(size), pa.array(known), pa.array(bases), pa.array(scores / math.log(10)), lists], [c.split()[0] for c in SCORED.split(", ")[:7]] + ["rare"])
             row += n
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), text_of().alias("text"))
-    return rows.transform(mapped, run, SCORED)
+    return codes.transform(mapped, run, SCORED)
 
 
 def score(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    learn = docs.filter(~held_out(F.col("doc_id")))
-    counts = stored(word_counts(learn), "counts")
-    model = train(learn, counts, tokenizer or tokenizer_path())
-    rows = stored(scored(docs, model), "scored")
+    codes = stored(coded(docs, held_out(F.col("doc_id"))), "codes")
+    counts = stored(counted(codes), "counts")
+    model = train(docs, counts, tokenizer or tokenizer_path(), codes)
+    rows = stored(scored(codes, model), "scored")
+    forget(codes)
     den = math.log10(model.n_tokens + 0.1 * (model.n_types + 1))
     # the counts of all words but the top ones
     rest = math.log10(max(1e-9, model.n_tokens - model.ends - int(model.count.sum()) + 0.1 * (model.n_types - (model.ends > 0) - len(model.count))))
