@@ -5,7 +5,7 @@ import random
 import pytest
 
 from tests.llm.helpers import DOCS, components, prose
-from tests.llm.test_simhash import shingles
+from tests.llm.test_simhash import fingerprint, shingles
 from tidelog.llm import op07_simhash as op
 
 
@@ -57,3 +57,24 @@ def test_long_texts(spark, changed):
     want = brute(texts)
     assert len(want) == (30 if changed == 66 else 60)
     assert kept(spark, texts) == want
+
+
+def test_links_of_the_index(spark, monkeypatch):
+    """The stage takes the links of op7's byte-position index: they join all fingerprints at 3 bits or fewer."""
+    texts = sorted(set(copies(random.Random(3), 12, 6, (0, 1))))
+    taken, by_index = [], getattr(op, "by_index", None)
+
+    def watched(reps):
+        fps = {r.row: r.sh & (1 << 64) - 1 for r in reps.collect()}
+        out = by_index(reps)
+        taken.append((fps, {(r.u, r.v) for r in out.collect()}))
+        return out
+
+    monkeypatch.setattr(op, "by_index", watched, raising=False)
+    assert kept(spark, texts) == brute(texts)
+    assert len(taken) == 1
+    (fps, edges), at = taken[0], sorted(taken[0][0])
+    assert sorted(fps.values()) == sorted(map(fingerprint, texts))
+    near = {(a, b) for a in at for b in at if a < b and (fps[a] ^ fps[b]).bit_count() <= 3}
+    linked = lambda e: components(len(at), lambda a, b: (at[min(a, b)], at[max(a, b)]) in e)
+    assert edges <= near and linked(edges) == linked(near) and len(set(linked(near))) < len(at)

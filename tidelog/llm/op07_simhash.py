@@ -175,9 +175,9 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return fps.join(ids, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
-# Texts whose sets of shingles are alike. At a similarity of 0.8, 64-bit fingerprints differ in 10 bits or so, where
-# bytes have little in common: fingerprints are wider, lists are those of min-wise keys, and links are verified by
-# whole sets. The forest of a list by fingerprints finds most components; then every pair of a list that is still in
+# Texts whose sets of shingles are alike. First come the links of op7's fingerprints by the index above. At a similarity
+# of 0.8, 64-bit fingerprints differ in 10 bits or so, where bytes have little in common: for these pairs there are wider
+# fingerprints in lists of min-wise keys. All links are verified by whole sets. The forest of a list by fingerprints finds most components; then every pair of a list that is still in
 # two components is compared.
 
 SHINGLE, ALIKE, FAR, WIDE, BANDS, ROWS = 5, 0.8, 80, 4, 14, 4
@@ -397,9 +397,20 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield last, rows
 
 
+def by_index(reps: DataFrame) -> DataFrame:
+    """reps: row, sh (op7's fingerprint). Edges u, v, stored, that link all rows whose fingerprints link: by the byte-position
+    index, of distinct fingerprints' least rows; other rows of a fingerprint go to that."""
+    least = stored(reps.groupBy(F.col("sh").alias("fp")).agg(F.min("row").alias("rep")), "reps")
+    same = reps.select("sh", "row").join(least, F.col("sh") == F.col("fp")).filter("row <> rep").select(F.col("rep").alias("u"), F.col("row").alias("v"))
+    out = stored(links(least, least.count()).unionAll(same).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "index")
+    forget(least)
+    return out
+
+
 def filter_near(docs: DataFrame) -> DataFrame:
     """One document of each group of near-duplicates: that with the least doc_id (a null is larger than all;
-    then any). Groups are components of pairs whose sets of five-word shingles have a similarity of 0.8 or more.
+    then any). Groups are components of pairs whose sets of five-word shingles have a similarity of 0.8 or more; candidates
+    are the links of op7's byte-position index, and min-wise lists for pairs that its 3 bits do not reach.
     All columns stay. Documents without words are copies of each other."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -408,22 +419,25 @@ def filter_near(docs: DataFrame) -> DataFrame:
 
         row = TaskContext.get().partitionId() << 40
         for b in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
-            sets = [shingle_set(t.as_py()) for t in b.column(1)]
+            texts = b.column(1).to_pylist()
+            sets = [shingle_set(t) for t in texts]
+            sh = np.array([simhash(t) for t in texts], dtype=U).view(np.int64)
             got = [summary(h) for h in sets]
             both = [xxhash.xxh3_128_intdigest(h.tobytes()) for h in sets]
             half = lambda k: pa.array(np.array([x >> k & 0xFFFFFFFFFFFFFFFF for x in both], dtype=U).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(row + np.arange(len(got))), half(0), half(64), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2].tobytes() for g in got], pa.binary()), pa.array([len(g[2]) for g in got], pa.int32()), pa.array([parities(g[2]).tobytes() for g in got], pa.binary())], ["doc", "row", "s1", "s2", "fp", "keys", "hashes", "size", "odd"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(row + np.arange(len(got))), half(0), half(64), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2].tobytes() for g in got], pa.binary()), pa.array([len(g[2]) for g in got], pa.int32()), pa.array([parities(g[2]).tobytes() for g in got], pa.binary()), pa.array(sh)], ["doc", "row", "s1", "s2", "fp", "keys", "hashes", "size", "odd", "sh"])
             row += len(got)
 
     whole = docs.select(F.struct("*").alias("doc"), text_of().alias("text"))
     kind = whole.schema["doc"].dataType.simpleString()
-    made = stored(whole.transform(mapped, run, f"doc {kind}, row long, s1 long, s2 long, fp binary, keys array<long>, hashes binary, size int, odd binary"), "near")
+    made = stored(whole.transform(mapped, run, f"doc {kind}, row long, s1 long, s2 long, fp binary, keys array<long>, hashes binary, size int, odd binary, sh long"), "near")
     rank = F.struct(F.col("doc.doc_id").isNull().alias("null_id"), F.col("doc.doc_id").alias("id"), F.col("row").alias("row"))
     # copies: one row of each set goes on
     sets = made.select("s1", "s2", rank.alias("k")).groupBy("s1", "s2").agg(F.min("k").alias("k"))
     copies = made.select("s1", "s2", "row").join(sets.select("s1", "s2", F.col("k.row").alias("rep")), ["s1", "s2"]).filter("row <> rep").select("row")
     first = sets.select(F.col("k.row").alias("row"), "k")
-    reps = stored(made.select("row", "fp", "keys").join(first, "row"), "sets")
+    reps = stored(made.select("row", "fp", "keys", "sh").join(first, "row"), "sets")
+    indexed = by_index(reps)
     rows = reps.select(F.posexplode("keys").alias("band", "key"), "row", "fp").filter(F.length("fp") > 0)
 
     def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -453,7 +467,7 @@ def filter_near(docs: DataFrame) -> DataFrame:
     # lists of two rows or more: the rows, and the forest's edges
     found = stored(rows.repartition(parts, "band", "key").sortWithinPartitions("band", "key", "row").transform(mapped, forests, "band int, key long, u long, v long"), "lists")
     forget(reps)
-    near = found.filter("v IS NOT NULL").select("u", "v").distinct()
+    near = found.filter("v IS NOT NULL").select("u", "v").unionAll(indexed).distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -467,7 +481,7 @@ def filter_near(docs: DataFrame) -> DataFrame:
     more = unlinked(found.filter("v IS NULL").select("band", "key", F.col("u").alias("row")), roots, made)
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(more))
-    forget(found)
+    forget(found, indexed)
     # a component's root is its least row; the one that stays has the least doc_id
     group = roots.select("node", "root").unionAll(roots.select(F.col("root").alias("node"), "root").distinct()).join(first, F.col("node") == F.col("row"))
     stays = group.groupBy("root").agg(F.min("k").alias("best"))
