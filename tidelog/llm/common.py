@@ -37,11 +37,20 @@ def fresh(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+#: Spark removes the shuffle files of a query when it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     """Write once to the shared folder and read again: cuts lineage, survives lost executors, and keeps what
-    depends on the partitioning (numbers of partitions, offsets) as it was."""
+    depends on the partitioning (numbers of partitions, offsets) as it was. The write's shuffle files go with it."""
     spark, path = df.sparkSession, fresh(df.sparkSession, what)
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

@@ -382,11 +382,15 @@ def repeated(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
         runs = runs.withColumn("hot", F.lit(False)).withColumn("salt", F.lit(0).cast("long"))
     grams = runs.repartition(parts, "g", "salt").sortWithinPartitions("g", "salt", "c1", "c2")
     matched = stored(grams.transform(mapped, _match(size), ROW), "matched")
+    spans_of = lambda t: t.filter("kind = 0").select("doc_id", "h", "lo", "hi")
+    settled = stored(spans_of(scan).unionAll(spans_of(matched)), "settled")
+    forget(scan, hot)
     entry = F.struct("a", "lo", "hi", "settled")
     per = matched.filter("kind = 1").groupBy("doc_id", "h").agg(F.collect_list(entry).alias("entries")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "entries")
     same = F.col("h").eqNullSafe(F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id"))
     opened = base.join(per.hint("shuffle_merge"), same).select("doc_id", "h", "text", "entries")
     spans = stored(opened.transform(mapped, partial(_spans, size=size, gram=gram), SPAN), "spans")
+    forget(matched)
     counts = stored(spans.groupBy(F.xxhash64("gram").alias("_g")).agg(F.count("*").alias("c")).filter(F.col("c") > HOT), "counts")
     if n := counts.count():
         spread = spans.join(F.broadcast(counts) if n <= MAX_SENT else counts, F.xxhash64("gram") == F.col("_g"), "left")
@@ -395,10 +399,11 @@ def repeated(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
         spread = spans.withColumn("salt", F.lit(0).cast("long")).withColumn("hot", F.lit(False))
     ordered = spread.repartitionByRange(parts, "gram", "salt").sortWithinPartitions("gram", "salt").select(*[x.split()[0] for x in SPAN.split(", ")], "hot", "salt")
     found = stored(ordered.transform(mapped, _sorter(parts, size), OUT), "found")
+    forget(spans, counts)
     across = found.filter("kind = 2").select("part", "blob").repartition(parts, "part").transform(mapped, partial(_compare, length=size), OUT)
-    every = scan.filter("kind = 0").select("doc_id", "h", "lo", "hi").unionAll(matched.filter("kind = 0").select("doc_id", "h", "lo", "hi")).unionAll(found.filter("kind = 0").unionAll(across).select("doc_id", "h", "lo", "hi"))
+    every = settled.unionAll(spans_of(found.unionAll(across)))
     out = stored(every.groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "repeats")
-    forget(scan, hot, matched, spans, counts, found)
+    forget(settled, found)
     return out
 
 

@@ -486,7 +486,9 @@ def filter_near(docs: DataFrame) -> DataFrame:
     group = roots.select("node", "root").unionAll(roots.select(F.col("root").alias("node"), "root").distinct()).join(first, F.col("node") == F.col("row"))
     stays = group.groupBy("root").agg(F.min("k").alias("best"))
     gone = group.select("row").join(stays.select(F.col("best.row").alias("row")), "row", "left_anti")
-    return made.join(copies.unionAll(gone), "row", "left_anti").select("doc.*")
+    out = stored(made.join(copies.unionAll(gone), "row", "left_anti").select("doc.*"), "single")
+    forget(made)  # texts with their sets; the result has no use of these
+    return out
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
