@@ -142,3 +142,32 @@ def test_rounds_share_out_all_documents(spark, monkeypatch):
     op.train(docs, op.stored(op.counted(codes), "counts"), op.tokenizer_path(), codes)
     places = sum(float(got[-1][-1]) for got in seen if -1 in got)
     assert len([1 for got in seen if -1 in got]) == len(op.ROUNDS) and places == windows * 2 * op.HOP
+
+
+def test_words_are_looked_up_once(spark, monkeypatch):
+    """Places and first subwords come with the rows, so that neither training nor scoring opens a tokenizer."""
+    monkeypatch.setattr(op, "TOP_WORDS", 20)
+    docs = spark.createDataFrame(odd_docs(), DOCS)
+    codes = op.stored(op.coded(docs, op.held_out(op.F.col("doc_id"))), "codes")
+    model, rows = op.fitted(codes, op.stored(op.counted(codes), "counts"), op.tokenizer_path())
+    library, beyond = op.first_ids(op.tokenizer_path()).tokenizer.model, 0
+    for r in rows.join(codes.select("row", "words"), "row").collect():
+        place, sub, listed = np.frombuffer(r.place, "<i4"), np.frombuffer(r.sub, "<i4"), r.words.split(" ")
+        assert place.tolist() == [model.index.get(w, -1) for w in listed]
+        assert r.rare.split(" ") == [w for w in listed if w not in model.index]
+        plain = ["".join(op.bpe.byte_chars()[b] for b in w.encode()) for w in listed]
+        assert sub.tolist() == [library.tokenize(w)[0].id for w in plain]
+        beyond += sum(place < 0)
+    assert beyond
+    model.tokenizer = "/none"
+    assert op.scored(rows, model).count() == docs.count()
+
+
+def test_windows_of_joined_texts():
+    rng, sizes = np.random.default_rng(5), np.array([0, 1, 31, 32, 33, 0, 100])
+    sub, cls, n, each = rng.integers(0, 99, sizes.sum()), rng.integers(0, 30, sizes.sum()), 0, []
+    for k in sizes:
+        each.append(op._laid(np.concatenate([[op.START], sub[n : n + k]]), np.concatenate([cls[n : n + k], [op.END]])))
+        n += k
+    for got, want in zip(op._windowed(sub, cls, sizes), zip(*each, strict=True), strict=True):
+        assert (got == np.concatenate(want)).all()

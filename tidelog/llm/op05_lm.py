@@ -9,7 +9,8 @@ which is learned from words with a count of 1; the end is a class of its own, to
 
 What is gathered, always of all training rows. Texts are split once, into stored lists of distinct words and places
 in them. Counts are by one shuffle; the most frequent ones, a bounded number, go to all executors, and the rest of
-the words meet their counts in a join. Classes: every pass of the subspace iteration goes over all training documents,
+the words meet their counts in a join. Then each row's words get their places among the most frequent ones and their
+first subwords, once for all passes after that. Classes: every pass of the subspace iteration goes over all training documents,
 tasks give sums. Weights: each training document is trained on in one of the `ROUNDS`, which share all documents out;
 a round's tasks start from the same weights, and the next round from the mean of theirs. Small tables are gone over
 until the network has had STEPS batches. Where there are words beyond the most frequent ones, a place of such a word
@@ -26,9 +27,10 @@ counts of zero, and score is the same.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +58,7 @@ def held_out(c):
     return F.coalesce(F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(10)) == 0, F.lit(False))
 
 
-def words_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """(places in the list of distinct words, that list, each text's first word and the end)."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     flat = lists.flatten()
@@ -64,7 +66,7 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     some = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
     bounds = np.concatenate([[0], np.cumsum(some)])[np.concatenate([[0], np.cumsum(n)])]
     coded = flat.filter(pa.array(some)).dictionary_encode()
-    return coded.indices.to_numpy(), coded.dictionary.to_pylist(), bounds
+    return coded.indices.to_numpy(), coded.dictionary, bounds
 
 
 def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,41 +89,43 @@ def coded(docs: DataFrame, held) -> DataFrame:
             learned = ~b.column(1).to_numpy(zero_copy_only=False)
             windows = int((-(-(np.diff(bounds) + 1) // HOP))[learned].sum())
             whole = lambda c: pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), c)  # noqa: E731, B023
-            values = [[row], whole(b.column(0)), whole(b.column(1)), [" ".join(words)], [at.astype("<i4").tobytes()], [bounds.astype("<i8").tobytes()], [int(learned.sum())], [windows]]
+            names = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")
+            values = [[row], whole(b.column(0)), whole(b.column(1)), names, [at.astype("<i4").tobytes()], [bounds.astype("<i8").tobytes()], [int(learned.sum())], [windows]]
             yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in values], [c.split()[0] for c in CODED.split(", ")])
             row += 1
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), text_of().alias("text")).transform(mapped, run, CODED)
 
 
-def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(row, ids, held, places, words, bounds) of each coded row."""
-    for b in batches:
-        for i in range(b.num_rows):
-            words = b.column(3)[i].as_py()
-            at, bounds = (np.frombuffer(b.column(k)[i].as_buffer(), dtype=t) for k, t in ((4, "<i4"), (5, "<i8")))
-            yield b.column(0)[i].as_py(), b.column(1)[i].values, b.column(2)[i].values, at, words.split(" ") if words else [], bounds
-
-
 def counted(codes: DataFrame) -> DataFrame:
     """word, c: of all training words. A task counts COUNTED distinct words before it sends them on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter[str] = Counter()
+        held_back, rows = [], 0
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+            t = pa.concat_tables(held_back).group_by("word").aggregate([("n", "sum")])
+            return t.select(["word", "n_sum"]).rename_columns(["word", "n"])
 
-        for _, _, held, at, words, bounds in rows_of(batches):
-            learned = np.repeat(~held.to_numpy(zero_copy_only=False), np.diff(bounds))
-            times = np.bincount(at[learned], minlength=len(words)).tolist()
-            n.update({w: k for w, k in zip(words, times, strict=True) if k})
-            if len(n) >= COUNTED:
-                yield out()
-                n.clear()
-        yield out()
+        for b in batches:
+            lists = pc.split_pattern(b.column("words"), " ")
+            for i in range(b.num_rows):
+                at, bounds = (np.frombuffer(b.column(c)[i].as_buffer(), dtype=t) for c, t in (("at", "<i4"), ("bounds", "<i8")))
+                learned = np.repeat(~b.column("held")[i].values.to_numpy(zero_copy_only=False), np.diff(bounds))
+                words = lists[i].values  # [""] where there are none
+                times = np.bincount(at[learned], minlength=len(words))
+                seen = pa.array(times > 0)
+                held_back.append(pa.table({"word": words.filter(seen), "n": pa.array(times).filter(seen)}))
+                rows += len(held_back[-1])
+                if rows >= 2 * COUNTED:
+                    held_back = [out()]
+                    if (rows := len(held_back[0])) >= COUNTED:
+                        yield from held_back[0].to_batches()
+                        held_back, rows = [], 0
+        if held_back:
+            yield from out().to_batches()
 
-    return codes.transform(mapped, run, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    return codes.select("held", "words", "at", "bounds").transform(mapped, run, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -142,25 +146,60 @@ class Model:
     tokenizer: str
 
 
-class FirstId(dict):
-    """A word's first subword id, by the library's model of the file (words are not normalised or split further)."""
+class FirstIds:
+    """Words' first subword ids, by the library's model of the file (words are not normalised or split further)."""
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.chars = self.tokenizer.model, bpe.byte_chars()
 
-    def __missing__(self, word: str) -> int:
-        plain = word if word.isascii() and word.isprintable() else "".join([self.chars[b] for b in word.encode()])
-        got = self.model.tokenize(plain)
-        v = got[0].id if got else 0
-        if len(word) <= 64:
-            if len(self) >= COUNTED:
-                self.clear()
-            self[word] = v
-        return v
+    def __call__(self, words: list[str]) -> list[int]:
+        parts, whole = self.model.tokenize, "".join(words)
+        if not (whole.isascii() and whole.isprintable()):
+            words = [w if w.isascii() and w.isprintable() else "".join([self.chars[b] for b in w.encode()]) for w in words]
+        return [got[0].id if (got := parts(w)) else 0 for w in words]
+
+
+@cache
+def first_ids(path: str) -> FirstIds:
+    """Read once by a worker."""
+    return FirstIds(path)
+
+
+PLACED = "row long, ids array<long>, held array<boolean>, at binary, bounds binary, place binary, sub binary, rare string"
+
+
+def placed(codes: DataFrame, sent) -> DataFrame:
+    """The coded rows, whose distinct words are looked up once for all passes after it: each one's place among the top words (-1:
+    it has none) and first subword, and the words that have no place. sent: broadcast (top words, their subwords,
+    tokenizer)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top, enters, tokenizer = sent.value
+        first = first_ids(tokenizer)
+        for b in batches:
+            lists = pc.split_pattern(b.column("words"), " ")  # [""] where there are none
+            words, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            place = pc.fill_null(pc.index_in(words, value_set=top), -1).to_numpy()
+            other = place < 0
+            rare = words.filter(pa.array(other))
+            sub = enters[place] if len(enters) else np.zeros(len(place), dtype="<i4")
+            sub[other] = first(rare.to_pylist())
+            rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(other)])[ends], pa.int32()), rare)
+            each = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)], pa.binary())  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("row", "ids", "held", "at", "bounds")), each(place), each(sub), pc.binary_join(rare, " ")], [c.split()[0] for c in PLACED.split(", ")])
+
+    return codes.transform(mapped, run, PLACED)
+
+
+def parts_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    """(held, at, bounds, place) of each row of a placed table, and the columns named besides, as they are."""
+    for b in batches:
+        for i in range(b.num_rows):
+            at, bounds, place = (np.frombuffer(b.column(c)[i].as_buffer(), dtype=t) for c, t in (("at", "<i4"), ("bounds", "<i8"), ("place", "<i4")))
+            yield b.column("held")[i].values.to_numpy(zero_copy_only=False), at, bounds, place, *(b.column(c)[i] for c in names)
 
 
 def summed(codes: DataFrame, run) -> dict[int, np.ndarray]:
@@ -185,37 +224,44 @@ def summed(codes: DataFrame, run) -> dict[int, np.ndarray]:
     return {r.k: np.frombuffer(r.v, dtype="<f4") for r in sums.collect()}  # some 10 MB
 
 
-def _clusters(codes: DataFrame, index, count: np.ndarray) -> np.ndarray:
-    """A class for each top word, by the training documents that it occurs in. index: broadcast."""
-    rng, n = np.random.default_rng(1), len(count)
+def _clusters(rows: DataFrame, count: np.ndarray) -> np.ndarray:
+    """A class for each top word, by the training documents that it occurs in. rows: placed."""
+    rng, n, rows = np.random.default_rng(1), len(count), rows.select("held", "at", "bounds", "place")
     x, df = rng.standard_normal((n, SKETCH)), count.astype(np.float64)
     for _ in range(PASSES):
-        sent = codes.sparkSession.sparkContext.broadcast((x / np.sqrt(df + 1)[:, None]).astype(np.float32))
+        sent = rows.sparkSession.sparkContext.broadcast((x / np.sqrt(df + 1)[:, None]).astype(np.float32))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[tuple]:
-            z, places = sent.value, index.value
-            out = np.zeros((n, SKETCH + 1), dtype=np.float32)
-            for _, _, held, at, words, bounds in rows_of(batches):
-                place = np.array([places.get(w, -1) for w in words], dtype=np.int64)
-                size = np.diff(bounds)
+            z, out, df = sent.value, np.zeros((n, SKETCH), dtype=np.float32), np.zeros(n, dtype=np.float32)
+            for held, at, bounds, place in parts_of(batches):
+                size, many = np.diff(bounds), len(place)
                 doc = np.repeat(np.arange(len(size)), size)
-                ok = ~held.to_numpy(zero_copy_only=False)[doc]
+                ok = ~held[doc] & (place[at] >= 0)
                 if not ok.any():
                     continue
-                pair = np.unique(doc[ok] * len(words) + at[ok])
-                d, w = pair // len(words), pair % len(words)
-                top = place[w] >= 0
-                d, w = d[top], w[top]
-                degree = np.bincount(d, minlength=len(size)) + 1.0
-                y = np.column_stack([np.bincount(d, weights=v[w], minlength=len(size)) for v in np.where(place[:, None] >= 0, z[place], 0).T]) / degree[:, None]
-                got = np.column_stack([*(np.bincount(w, weights=v[d], minlength=len(words)) for v in y.T), np.bincount(w, minlength=len(words))])
-                out[place[place >= 0]] += got[place >= 0].astype(np.float32)  # a word stands once in a row's list
+                kind = np.int32 if len(size) * many < 1 << 31 else np.int64
+                pair = np.sort((doc[ok] * many + at[ok]).astype(kind))
+                pair = pair[np.concatenate([[True], pair[1:] != pair[:-1]])]
+                starts = np.searchsorted(pair, (np.arange(len(size) + 1) * many).astype(kind))
+                degree = np.diff(starts)
+                d, some = np.repeat(np.arange(len(size)), degree), degree > 0
+                w = pair - (d * many).astype(kind)
+                y = np.zeros((len(size), SKETCH), dtype=np.float32)
+                y[some] = np.add.reduceat(z[place[w]], starts[:-1][some], axis=0)
+                y /= (degree + 1).astype(np.float32)[:, None]
+                # numpy sorts 16 bits by counting
+                order = np.argsort(w.astype(np.uint16) if many <= 1 << 16 else w, kind="stable")
+                w = w[order]
+                first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+                to = place[w[first]]  # a word stands once in a row's list
+                out[to] += np.add.reduceat(y[d[order]], first, axis=0)
+                df[to] += np.diff(np.append(first, len(w)))
             for k in range(0, n, CHUNK):
-                if out[k : k + CHUNK, SKETCH].any():
-                    yield k // CHUNK, out[k : k + CHUNK].ravel()
+                if df[k : k + CHUNK].any():
+                    yield k // CHUNK, np.column_stack([out[k : k + CHUNK], df[k : k + CHUNK]]).ravel()
 
         sums = np.zeros((n, SKETCH + 1))
-        for k, v in summed(codes, run).items():
+        for k, v in summed(rows, run).items():
             sums[k * CHUNK : (k + 1) * CHUNK] = v.reshape(-1, SKETCH + 1)
         sent.unpersist()
         df = sums[:, SKETCH]
@@ -235,32 +281,39 @@ def _windows(n: int) -> np.ndarray:
     return np.arange(0, n, HOP) - HOP
 
 
-def _forward(net, x, ok, train=False):
+def _forward(net, x, ok):
     """x: (B, 2 HOP) subword ids that stand before each place, ok: places inside the text. Logits of the last HOP."""
+    return _logits(net, x, ok)[0].reshape(-1, len(x), HOP).transpose(1, 2, 0)
+
+
+def _logits(net, x, ok):
+    """The same with a row for each class, and what the gradients need; attention has a row for each place that is looked at.
+    So maxima and sums go by whole rows."""
     n = len(x)
     h = net["E"][x] + net["P"]
     here, flat = np.ascontiguousarray(h[:, HOP:]).reshape(-1, WIDTH), h.reshape(-1, WIDTH)
     q = (here @ (net["Q"] * np.float32(WIDTH**-0.5))).reshape(n, HOP, WIDTH)
     k, v = (flat @ net["K"]).reshape(n, 2 * HOP, WIDTH), (flat @ net["V"]).reshape(n, 2 * HOP, WIDTH)
-    s = q @ k.transpose(0, 2, 1)
+    s = k @ np.ascontiguousarray(q.transpose(0, 2, 1))
     s += BEFORE
-    if not ok.all():
-        s += np.where(ok, np.float32(0), np.float32(-1e9))[:, None, :]
-    s -= s.max(-1, keepdims=True)
+    # what is after a text's end is after all its places, too; what is before its beginning is not
+    early = np.flatnonzero(~ok[:, :HOP].all(1))
+    s[early, :HOP] += np.where(ok[early, :HOP], np.float32(0), np.float32(-1e9))[:, :, None]
+    most = s
+    while half := most.shape[1] // 2:  # 2 * HOP is a power of 2; numpy's own maximum over short rows takes longer
+        most = np.maximum(most[:, :half], most[:, half:])
+    s -= most
     np.exp(s, out=s)
-    total = s @ np.ones((2 * HOP, 1), dtype=np.float32)
-    a = s @ v
-    a /= total
+    s /= np.ones((1, 2 * HOP), dtype=np.float32) @ s
+    a = s.transpose(0, 2, 1) @ v
     y = here + a.reshape(-1, WIDTH) @ net["O"]
-    logits = (y @ net["W"] + net["b"]).reshape(n, HOP, -1)
-    if not train:
-        return logits
-    s /= total
-    return logits, (h, q, k, v, s, a, y)
+    z = net["W"].T @ y.T
+    z += net["b"][:, None]
+    return z, (h, q, k, v, s, a, y)
 
 
 #: What a place may not look at: those after it.
-BEFORE = np.where(np.arange(2 * HOP)[None, None, :] <= np.arange(HOP, 2 * HOP)[None, :, None], np.float32(0), np.float32(-1e9))
+BEFORE = np.where(np.arange(2 * HOP)[None, :, None] <= np.arange(HOP, 2 * HOP)[None, None, :], np.float32(0), np.float32(-1e9))
 
 
 def _fresh(n_sub: int, log_share: np.ndarray) -> dict[str, np.ndarray]:
@@ -280,35 +333,35 @@ class Adam:
     def step(self, x, ok, y, rate: float) -> None:
         net, m, r = self.net, self.m, self.r
         n = len(x)
-        logits, (h, q, k, v, s, a, out) = _forward(net, x, ok, True)
-        d = logits - logits.max(-1, keepdims=True)
+        d, (h, q, k, v, s, a, out) = _logits(net, x, ok)
+        d -= d.max(0)
         np.exp(d, out=d)
-        d /= d.sum(-1, keepdims=True)
-        d, flat = d.reshape(n * HOP, -1), y.ravel()
+        d /= d.sum(0)
+        flat = y.ravel()
         here = np.flatnonzero(flat >= 0)
-        d[here, flat[here]] -= 1
+        d[flat[here], here] -= 1
         if self.unseen:
             rare = np.flatnonzero(flat == RARE)
-            d[rare, RARE] += self.unseen
-            d[rare, UNSEEN] -= self.unseen
-        d *= ((flat >= 0) / np.float32(max(1, len(here)))).astype(np.float32)[:, None]
-        g = {"W": out.T @ d, "b": d.sum(0)}
-        dy = d @ net["W"].T
+            d[RARE, rare] += self.unseen
+            d[UNSEEN, rare] -= self.unseen
+        d *= ((flat >= 0) / np.float32(max(1, len(here)))).astype(np.float32)
+        g = {"W": out.T @ d.T, "b": d.sum(1)}
+        dy = d.T @ net["W"].T
         g["O"] = a.reshape(-1, WIDTH).T @ dy
         da = (dy @ net["O"].T).reshape(n, HOP, WIDTH)
-        dv = s.transpose(0, 2, 1) @ da
-        ds = da @ v.transpose(0, 2, 1)
-        ds -= (da * a).sum(-1, keepdims=True)
+        dv = s @ da
+        ds = v @ np.ascontiguousarray(da.transpose(0, 2, 1))
+        ds -= np.einsum("ijk,ijk->ij", da, a)[:, None, :]
         ds *= s
         # q is scaled already
-        dk = (ds.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)
-        dq = (ds @ k).reshape(-1, WIDTH) * np.float32(WIDTH**-0.5)
+        dk = (ds @ q).reshape(-1, WIDTH)
+        dq = (ds.transpose(0, 2, 1) @ k).reshape(-1, WIDTH) * np.float32(WIDTH**-0.5)
         dv, all_, last = dv.reshape(-1, WIDTH), h.reshape(-1, WIDTH), np.ascontiguousarray(h[:, HOP:]).reshape(-1, WIDTH)
         g["Q"], g["K"], g["V"] = last.T @ dq, all_.T @ dk, all_.T @ dv
         dh = (dk @ net["K"].T + dv @ net["V"].T).reshape(n, 2 * HOP, WIDTH)
         dh[:, HOP:] += (dy + dq @ net["Q"].T).reshape(n, HOP, WIDTH)
         g["P"] = dh.sum(0)
-        order = np.argsort(x, axis=None, kind="stable")
+        order = np.argsort(x.astype(np.uint16) if len(net["E"]) <= 1 << 16 else x, axis=None, kind="stable")
         ids = x.ravel()[order]
         starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
         ids, ge = ids[starts], np.add.reduceat(dh.reshape(-1, WIDTH)[order], starts, axis=0)
@@ -317,9 +370,9 @@ class Adam:
         for p in net:
             at = ids if p == "E" else slice(None)
             gn = ge if p == "E" else g[p].astype(np.float32)
-            m[p][at] = 0.9 * m[p][at] + 0.1 * gn
-            r[p][at] = 0.99 * r[p][at] + 0.01 * gn * gn
-            net[p][at] -= np.float32(rate) * m[p][at] / (np.sqrt(r[p][at]) + 1e-7)
+            mp, rp = 0.9 * m[p][at] + 0.1 * gn, 0.99 * r[p][at] + 0.01 * gn * gn
+            m[p][at], r[p][at] = mp, rp
+            net[p][at] -= np.float32(rate) * mp / (np.sqrt(rp) + 1e-7)
 
 
 def _train(xs: np.ndarray, oks: np.ndarray, ys: np.ndarray, n_sub: int, n_out: int) -> dict[str, np.ndarray]:
@@ -335,10 +388,10 @@ def _train(xs: np.ndarray, oks: np.ndarray, ys: np.ndarray, n_sub: int, n_out: i
 DENSE = ("P", "Q", "K", "V", "O", "W", "b")
 
 
-def _round(codes: DataFrame, sent, net: dict[str, np.ndarray], lo: int, hi: int, n_windows: int, rates: tuple[float, float], unseen: float) -> dict[str, np.ndarray]:
+def _round(rows: DataFrame, sent, net: dict[str, np.ndarray], lo: int, hi: int, n_windows: int, rates: tuple[float, float], unseen: float) -> dict[str, np.ndarray]:
     """The mean of the weights that tasks reach from `net` on their documents of pieces lo to hi, by their places; a subword's
-    vector is the mean by its places. sent: broadcast (index, target class and subword of each top word, tokenizer)."""
-    spark = codes.sparkSession
+    vector is the mean by its places. sent: broadcast target class of each top word. rows: placed."""
+    spark = rows.sparkSession
     start = spark.sparkContext.broadcast(net)
     # few windows: one task, which goes over them more than once
     tasks = min(2 * spark.sparkContext.defaultParallelism, max(1, n_windows // (STEPS * BATCH)))
@@ -346,8 +399,8 @@ def _round(codes: DataFrame, sent, net: dict[str, np.ndarray], lo: int, hi: int,
     epochs = max(1, math.ceil(STEPS * BATCH * (hi - lo) / PIECES / expected))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        index, target, enters, tokenizer = sent.value
-        memo, adam = FirstId(tokenizer), Adam({k: v.copy() for k, v in start.value.items()}, unseen)
+        target = np.append(sent.value, RARE)  # that of place -1 comes last
+        adam = Adam({k: v.copy() for k, v in start.value.items()}, unseen)
         uses = np.zeros(len(adam.net["E"]), dtype=np.float64)
         rng, held_back, steps = np.random.default_rng(4), [], max(1, expected * epochs // (tasks * BATCH))
 
@@ -361,22 +414,14 @@ def _round(codes: DataFrame, sent, net: dict[str, np.ndarray], lo: int, hi: int,
             uses[:] += np.bincount(x[i[:n]].ravel(), minlength=len(uses))
             return [(x[i[n:]], ok[i[n:]], y[i[n:]])] if n < len(i) else []
 
-        for row, _, held, at, words, bounds in rows_of(batches):
+        for held, at, bounds, place, row, sub in parts_of(batches, "row", "sub"):
             size = np.diff(bounds)
-            piece = (((row + np.arange(len(size)) * 1_000_003 + 12345) * 2_654_435_761) >> 16) % PIECES
-            docs = np.flatnonzero(~held.to_numpy(zero_copy_only=False) & (piece >= lo) & (piece < hi))
-            if not len(docs):
+            piece = (((row.as_py() + np.arange(len(size)) * 1_000_003 + 12345) * 2_654_435_761) >> 16) % PIECES
+            mine = ~held & (piece >= lo) & (piece < hi)
+            if not mine.any():
                 continue
-            used = np.concatenate([at[bounds[d] : bounds[d + 1]] for d in docs])
-            words, (seen, used) = np.array(words, dtype=object), np.unique(used, return_inverse=True)
-            words = words[seen].tolist()
-            place = np.array([index.get(w, -1) for w in words], dtype=np.int64)
-            sub, cls = np.zeros(len(words), dtype=np.int64), np.full(len(words), RARE)
-            top = place >= 0
-            sub[top], cls[top] = enters[place[top]], target[place[top]]
-            for i in np.flatnonzero(~top).tolist():
-                sub[i] = memo[words[i]]
-            part = _windowed(sub[used], cls[used], size[docs])
+            used = at[np.repeat(mine, size)]
+            part = _windowed(np.frombuffer(sub.as_buffer(), dtype="<i4")[used], target[place[used]], size[mine])
             for _ in range(epochs - 1):
                 learn([part], True)
             held_back.append(part)
@@ -391,7 +436,7 @@ def _round(codes: DataFrame, sent, net: dict[str, np.ndarray], lo: int, hi: int,
                 if uses[k : k + CHUNK].any():
                     yield k // CHUNK, both[k : k + CHUNK].ravel()
 
-    got = summed(codes.coalesce(tasks), run)
+    got = summed(rows.select("held", "at", "bounds", "place", "row", "sub").coalesce(tasks), run)
     start.unpersist()
     out = {k: v.copy() for k, v in net.items()}
     if -1 in got:
@@ -424,19 +469,27 @@ def top_words(counts: DataFrame) -> list:
 
 def train(docs: DataFrame, counts: DataFrame, tokenizer: str, codes: DataFrame | None = None) -> Model:
     """docs: training documents; counts: stored; codes: the coded table that has them, stored, if there is one."""
-    spark = docs.sparkSession
-    codes = codes or stored(coded(docs, F.lit(False)), "codes")
+    model, rows = fitted(codes or stored(coded(docs, F.lit(False)), "codes"), counts, tokenizer)
+    forget(rows)
+    return model
+
+
+def fitted(codes: DataFrame, counts: DataFrame, tokenizer: str) -> tuple[Model, DataFrame]:
+    """The model, and the placed table, stored, that it was fitted on."""
+    spark = codes.sparkSession
     all_ = codes.agg(F.sum("learned").alias("docs"), F.sum("windows").alias("windows")).first()
     n_docs, n_windows = int(all_.docs or 0), int(all_.windows or 0)
     t = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("once")).first()
     top = top_words(counts)
     index = {r.word: i for i, r in enumerate(top)}
-    first = FirstId(tokenizer)
-    enters = np.array([first[r.word] for r in top], dtype=np.int64)
+    first = first_ids(tokenizer)
+    enters = np.array(first([r.word for r in top]), dtype=np.int64)
     n_sub = first.tokenizer.get_vocab_size() + 1
     count = np.array([r.c for r in top], dtype=np.int64)
-    places = spark.sparkContext.broadcast(index)  # TOP_WORDS words at most
-    cls = _clusters(codes, places, count) if len(top) else np.zeros(0, dtype=np.int64)
+    sent = spark.sparkContext.broadcast((pa.array(list(index), pa.string()), enters.astype("<i4"), tokenizer))  # TOP_WORDS words at most
+    rows = stored(placed(codes, sent), "placed")
+    sent.unpersist()
+    cls = _clusters(rows, count) if len(top) else np.zeros(0, dtype=np.int64)
     total = np.bincount(cls, weights=count + 0.1, minlength=CLASSES) if len(cls) else np.zeros(CLASSES)
     share = np.log((count + 0.1) / total[cls]) if len(cls) else np.zeros(0)
     # what each word would be if it were not there itself
@@ -449,13 +502,12 @@ def train(docs: DataFrame, counts: DataFrame, tokenizer: str, codes: DataFrame |
         f[END] += n_docs
         f[RARE], f[UNSEEN] = f[RARE] + beyond * (1 - unseen), f[UNSEEN] + beyond * unseen
         net = _fresh(n_sub, np.log(f / f.sum()))
-        sent, lo = spark.sparkContext.broadcast((index, target, enters, tokenizer)), 0
+        sent, lo = spark.sparkContext.broadcast(target), 0
         for i, (hi, rate) in enumerate(ROUNDS):
-            net = _round(codes, sent, net, lo, hi, n_windows, (rate, ROUNDS[i + 1][1] if i + 1 < len(ROUNDS) else 0.0), unseen)
+            net = _round(rows, sent, net, lo, hi, n_windows, (rate, ROUNDS[i + 1][1] if i + 1 < len(ROUNDS) else 0.0), unseen)
             lo = hi
         sent.unpersist()
-    places.unpersist()
-    return Model(int(t.n or 0) + n_docs, t.v + (n_docs > 0), n_docs, index, count, cls.astype(np.int16), enters.astype(np.int32), share, net, tokenizer)
+    return Model(int(t.n or 0) + n_docs, t.v + (n_docs > 0), n_docs, index, count, cls.astype(np.int16), enters.astype(np.int32), share, net, tokenizer), rows
 
 
 def _laid(x: np.ndarray, y: np.ndarray):
@@ -466,86 +518,88 @@ def _laid(x: np.ndarray, y: np.ndarray):
     return x[i].astype(np.int32), ok, np.where(ok[:, HOP:], y[i[:, HOP:]], -1).astype(np.int32)
 
 
+def _joined(sub: np.ndarray, cls: np.ndarray, sizes: np.ndarray):
+    """Texts one after the other, each with its end, of the subwords and classes of their words: what stands before each
+    place, its target, the words' places; each text's first place and length, each window's text and first place in it."""
+    n, size = len(sizes), sizes + 1
+    first = np.cumsum(size) - size
+    x, y = np.full(size.sum(), START, dtype=np.int32), np.full(size.sum(), END, dtype=np.int32)
+    where = np.arange(len(sub)) + np.repeat(np.arange(n), sizes)
+    x[where + 1], y[where] = sub, cls
+    per = -(-size // HOP)
+    doc = np.repeat(np.arange(n), per)
+    return x, y, where, first, size, doc, (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)) * HOP - HOP
+
+
 def _windowed(sub: np.ndarray, cls: np.ndarray, sizes: np.ndarray):
-    """The same for texts one after the other, of words alone: their subwords and classes."""
-    xs, oks, ys, n = [], [], [], 0
-    for k in sizes.tolist():
-        x, ok, y = _laid(np.concatenate([[START], sub[n : n + k]]), np.concatenate([cls[n : n + k], [END]]))
-        xs.append(x), oks.append(ok), ys.append(y)
-        n += k
-    return np.concatenate(xs), np.concatenate(oks), np.concatenate(ys)
+    """What _laid gives, for texts one after the other, of words alone: their subwords and classes."""
+    x, y, _, first, size, doc, start = _joined(sub, cls, sizes)
+    i = start[:, None] + np.arange(2 * HOP)[None, :]
+    ok = (i >= 0) & (i < size[doc][:, None])
+    i = np.where(ok, i, 0) + first[doc][:, None]
+    return x[i], ok, np.where(ok[:, HOP:], y[i[:, HOP:]], -1)
 
 
 SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<word:string,n:long,rare:double,unseen:double>>"
 
 
-def scored(codes: DataFrame, model: Model) -> DataFrame:
-    """One pass: the model's score and the base score but for rare words, which are listed: how often each occurs,
+def scored(rows: DataFrame, model: Model) -> DataFrame:
+    """One pass over the placed table: the model's score and the base score but for rare words, which are listed: how often each occurs,
     and the log probabilities at its places of the two classes that it may have."""
-    sent = codes.sparkSession.sparkContext.broadcast(model)  # TOP_WORDS words at most
+    sent = rows.sparkSession.sparkContext.broadcast(model)  # TOP_WORDS words at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         m = sent.value
         row = TaskContext.get().partitionId() << 40
-        memo, den = FirstId(m.tokenizer), math.log10(m.n_tokens + 0.1 * (m.n_types + 1))
+        den = math.log10(m.n_tokens + 0.1 * (m.n_types + 1))
         log_c = np.log10(m.count + 0.1)
         end_base = math.log10(m.ends + 0.1) - den
-        for _, ids, held, at, words, bounds in rows_of(batches):
-            n = len(bounds) - 1
-            place = np.array([m.index.get(w, -1) for w in words], dtype=np.int64)
-            rare = np.flatnonzero(place < 0)
-            enters, logp, cls, base = np.zeros(len(words), dtype=np.int64), np.zeros(len(words)), np.full(len(words), RARE), np.zeros(len(words))
-            top = place >= 0
-            enters[top], logp[top], cls[top], base[top] = m.enters[place[top]], m.share[place[top]], m.cls[place[top]], log_c[place[top]] - den
-            for i in rare.tolist():
-                enters[i] = memo[words[i]]
+        for held, at, bounds, place, ids, sub, rare in parts_of(batches, "ids", "sub", "rare"):
+            n, top = len(bounds) - 1, place >= 0
+            logp, cls, base = np.zeros(len(place)), np.full(len(place), RARE), np.zeros(len(place))
+            logp[top], cls[top], base[top] = m.share[place[top]], m.cls[place[top]], log_c[place[top]] - den
             doc = np.repeat(np.arange(n), np.diff(bounds))
             bases = np.bincount(doc, weights=base[at], minlength=n) + end_base
             known = np.bincount(doc, weights=top[at], minlength=n).astype(np.int64) + (m.ends > 0)
-            # texts one after the other, each with its end
-            size = np.diff(bounds) + 1
-            first = np.cumsum(size) - size
-            x, y = np.full(size.sum(), START, dtype=np.int64), np.full(size.sum(), END, dtype=np.int64)
-            where = np.arange(len(at)) + doc
-            x[where + 1], y[where] = enters[at], cls[at]
-            own, unseen = np.zeros(size.sum()), np.zeros(size.sum())
+            x, y, where, first, size, wd, ws = _joined(np.frombuffer(sub.as_buffer(), dtype="<i4")[at], cls[at], np.diff(bounds))
+            own, unseen = np.zeros(len(x)), np.zeros(len(x))
             if m.net:
-                per = -(-size // HOP)
-                wd = np.repeat(np.arange(n), per)
-                ws = (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)) * HOP - HOP
                 for k in range(0, len(wd), 64):
                     d, s = wd[k : k + 64], ws[k : k + 64]
                     i = s[:, None] + np.arange(2 * HOP)[None, :]
                     ok = (i >= 0) & (i < size[d][:, None])
                     i = np.where(ok, i, 0) + first[d][:, None]
-                    z = _forward(m.net, x[i], ok)
-                    z -= z.max(-1, keepdims=True)
-                    i, ok, total = i[:, HOP:], ok[:, HOP:], np.log(np.exp(z).sum(-1))
-                    own[i[ok]] = (np.take_along_axis(z, y[i][..., None], -1)[..., 0] - total)[ok]
-                    unseen[i[ok]] = (z[..., UNSEEN] - total)[ok]
+                    z, _ = _logits(m.net, x[i], ok)
+                    here, i = np.flatnonzero(ok[:, HOP:]), i[:, HOP:].ravel()
+                    z -= z.max(0)
+                    it, new = z[y[i], np.arange(len(i))], z[UNSEEN].copy()
+                    total = np.log(np.exp(z, out=z).sum(0))
+                    own[i[here]], unseen[i[here]] = (it - total)[here], (new - total)[here]
             # rare words of each text
             is_rare = ~top[at]
             pair, back, times = np.unique(doc[is_rare].astype(np.int64) << 32 | at[is_rare], return_inverse=True, return_counts=True)
             sums = [np.bincount(back, weights=v[where[is_rare]], minlength=len(pair)) / math.log(10) for v in (own, unseen)]
             own[where[is_rare]] = 0
             scores = np.bincount(np.repeat(np.arange(n), size), weights=own, minlength=n) + np.bincount(doc, weights=logp[at], minlength=n)
-            names = pa.array(words, pa.string()).take(pa.array(pair & 0xFFFFFFFF))
+            words = pa.array((rare.as_py() or "").split(" "), pa.string())
+            names = words.take(pa.array((np.cumsum(~top) - 1)[pair & 0xFFFFFFFF]))
             offsets = np.searchsorted(pair >> 32, np.arange(n + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([names, pa.array(times, pa.int64()), *map(pa.array, sums)], ["word", "n", "rare", "unseen"]))
-            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), ids, held, pa.array(size), pa.array(known), pa.array(bases), pa.array(scores / math.log(10)), lists], [c.split()[0] for c in SCORED.split(", ")[:7]] + ["rare"])
+            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), ids.values, pa.array(held), pa.array(size), pa.array(known), pa.array(bases), pa.array(scores / math.log(10)), lists], [c.split()[0] for c in SCORED.split(", ")[:7]] + ["rare"])
             row += n
 
-    return codes.transform(mapped, run, SCORED)
+    return rows.transform(mapped, run, SCORED)
 
 
 def score(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     codes = stored(coded(docs, held_out(F.col("doc_id"))), "codes")
     counts = stored(counted(codes), "counts")
-    model = train(docs, counts, tokenizer or tokenizer_path(), codes)
-    rows = stored(scored(codes, model), "scored")
+    model, places = fitted(codes, counts, tokenizer or tokenizer_path())
     forget(codes)
+    rows = stored(scored(places, model), "scored")
+    forget(places)
     den = math.log10(model.n_tokens + 0.1 * (model.n_types + 1))
     # the counts of all words but the top ones
     rest = math.log10(max(1e-9, model.n_tokens - model.ends - int(model.count.sum()) + 0.1 * (model.n_types - (model.ends > 0) - len(model.count))))
