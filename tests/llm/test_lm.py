@@ -171,3 +171,53 @@ def test_windows_of_joined_texts():
         n += k
     for got, want in zip(op._windowed(sub, cls, sizes), zip(*each, strict=True), strict=True):
         assert (got == np.concatenate(want)).all()
+
+
+def plain_logits(net, x, ok):
+    """A place after the other, in double precision."""
+    net, out, most = {k: v.astype(float) for k, v in net.items()}, [], 0
+    for ids, inside in zip(x, ok, strict=True):
+        h = net["E"][ids] + net["P"]
+        for t in range(op.HOP, 2 * op.HOP):
+            at = [j for j in range(t + 1) if inside[j] or j >= op.HOP]
+            s = h[at] @ net["K"] @ (h[t] @ net["Q"]) / math.sqrt(op.WIDTH)
+            p, most = np.exp(s - s.max()), max(most, np.abs(s).max())
+            out.append((h[t] + p / p.sum() @ (h[at] @ net["V"]) @ net["O"]) @ net["W"] + net["b"])
+    return np.array(out).reshape(len(x), op.HOP, -1), most
+
+
+@pytest.mark.parametrize("size", [1, 9])
+def test_hops_and_windows_against_plain_attention(size):
+    """Also with weights whose exponentials need their maximum taken off; a hop is seen as in its window."""
+    rng, sizes = np.random.default_rng(6), np.array([0, 1, 31, 32, 33, 100])
+    net = op._fresh(50_000, np.log(np.arange(1, 8) / 28))
+    net |= {k: net[k] * np.float32(size) for k in ("E", "P", "Q", "K")}
+    sub = rng.integers(0, 49_000, sizes.sum())
+    x, ok, _ = op._windowed(sub, sub % 7, sizes)
+    (want, most), got = plain_logits(net, x, ok), op._forward(net, x, ok)
+    assert (most > op.SAFE) == (size > 1)
+    inside = ok[:, op.HOP :]
+    assert np.allclose(got[inside], want[inside], rtol=1e-4, atol=1e-4 * size)
+    hops, begins = np.where(ok, x, 0)[:, op.HOP :], ~ok[:, 0]
+    got = op._hops(net, np.concatenate([hops[:1], hops]), begins).reshape(-1, len(x), op.HOP).transpose(1, 2, 0)
+    assert np.allclose(got[inside], want[inside], rtol=1e-4, atol=1e-4 * size)
+
+
+def test_class_sums_against_plain_python(spark, monkeypatch):
+    """The first pass: of each word, the mean of its documents' words, whatever the number of documents; held-out ones give nothing."""
+    monkeypatch.setattr(op, "TOP_WORDS", 300)
+    docs = odd_docs()
+    codes = op.stored(op.coded(spark.createDataFrame(docs, DOCS), op.held_out(op.F.col("doc_id"))), "codes")
+    seen, summed = [], op.summed
+    monkeypatch.setattr(op, "summed", lambda rows, run: seen.append(summed(rows, run)) or seen[-1])
+    model, _ = op.fitted(codes, op.stored(op.counted(codes), "counts"), op.tokenizer_path())
+    n = len(model.index)
+    z = (np.random.default_rng(1).standard_normal((n, op.SKETCH)) / np.sqrt(model.count.astype(float) + 1)[:, None]).astype(np.float32)
+    want, times = np.zeros((n, op.SKETCH)), np.zeros(n)
+    for k, t, *_ in docs:
+        here = sorted({model.index[w] for w in words(t) if w in model.index})
+        if here and not (k is not None and zlib.crc32(str(k).encode()) % 10 == 0):
+            want[here] += z[here].sum(0) / (len(here) + 1)
+            times[here] += 1
+    got = seen[0][0].reshape(-1, op.SKETCH + 1)[:n]
+    assert times.max() > 3 and (got[:, op.SKETCH] == times).all() and np.allclose(got[:, : op.SKETCH], want, rtol=1e-4, atol=1e-5)

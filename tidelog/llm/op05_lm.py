@@ -233,29 +233,41 @@ def _clusters(rows: DataFrame, count: np.ndarray) -> np.ndarray:
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[tuple]:
             z, out, df = sent.value, np.zeros((n, SKETCH), dtype=np.float32), np.zeros(n, dtype=np.float32)
+            kept = np.dtype((np.void, 4 * SKETCH))  # rows as one item each, which numpy copies faster
+            out_rows = out.view(kept)[:, 0]
             for held, at, bounds, place in parts_of(batches):
                 size, many = np.diff(bounds), len(place)
-                doc = np.repeat(np.arange(len(size)), size)
-                ok = ~held[doc] & (place[at] >= 0)
-                if not ok.any():
-                    continue
                 kind = np.int32 if len(size) * many < 1 << 31 else np.int64
-                pair = np.sort((doc[ok] * many + at[ok]).astype(kind))
-                pair = pair[np.concatenate([[True], pair[1:] != pair[:-1]])]
-                starts = np.searchsorted(pair, (np.arange(len(size) + 1) * many).astype(kind))
-                degree = np.diff(starts)
-                d, some = np.repeat(np.arange(len(size)), degree), degree > 0
-                w = pair - (d * many).astype(kind)
+                pair = np.repeat(np.arange(len(size), dtype=kind) * kind(many), size)
+                pair += at
+                pair.sort()
+                pair = pair[np.concatenate([[True], pair[1:] != pair[:-1]])] if len(pair) else pair
+                d = np.repeat(np.arange(len(size)), np.diff(np.searchsorted(pair, np.arange(len(size) + 1, dtype=np.int64) * many)))
+                w = pair - d * many
+                ok = np.flatnonzero((place >= 0).take(w) & ~held.take(d))
+                if not len(ok):
+                    continue
+                d, w = d.take(ok), w.take(ok)
+                degree = np.bincount(d, minlength=len(size))
+                some = degree > 0
                 y = np.zeros((len(size), SKETCH), dtype=np.float32)
-                y[some] = np.add.reduceat(z[place[w]], starts[:-1][some], axis=0)
+                y[some] = np.add.reduceat(z.take(place.take(w), axis=0), (np.cumsum(degree) - degree)[some], axis=0)
                 y /= (degree + 1).astype(np.float32)[:, None]
                 # numpy sorts 16 bits by counting
                 order = np.argsort(w.astype(np.uint16) if many <= 1 << 16 else w, kind="stable")
-                w = w[order]
+                d, w = d.take(order), w.take(order)
                 first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-                to = place[w[first]]  # a word stands once in a row's list
-                out[to] += np.add.reduceat(y[d[order]], first, axis=0)
-                df[to] += np.diff(np.append(first, len(w)))
+                # the words in most texts come first: all words' first texts, then the second ones of those that have them, ...
+                times = np.diff(first, append=len(w))
+                order = np.argsort(-times, kind="stable")
+                first, times = first.take(order), times.take(order)
+                sums = y.take(d.take(first), axis=0)
+                for j, k in enumerate(np.searchsorted(-times, -np.arange(1, times[0])).tolist(), 1):
+                    sums[:k] += y.take(d.take(first[:k] + j), axis=0)
+                to = place.take(w.take(first))  # a word stands once in a row's list
+                sums += out.take(to, axis=0)
+                out_rows[to] = sums.view(kept)[:, 0]
+                df[to] += times
             for k in range(0, n, CHUNK):
                 if df[k : k + CHUNK].any():
                     yield k // CHUNK, np.column_stack([out[k : k + CHUNK], df[k : k + CHUNK]]).ravel()
@@ -287,33 +299,61 @@ def _forward(net, x, ok):
 
 
 def _logits(net, x, ok):
-    """The same with a row for each class, and what the gradients need; attention has a row for each place that is looked at.
-    So maxima and sums go by whole rows."""
+    """The same with a row for each class, and what the gradients need."""
     n = len(x)
-    h = net["E"][x] + net["P"]
-    here, flat = np.ascontiguousarray(h[:, HOP:]).reshape(-1, WIDTH), h.reshape(-1, WIDTH)
+    h = net["E"].take(x, axis=0)
+    h += net["P"]
+    here = np.ascontiguousarray(h[:, HOP:]).reshape(-1, WIDTH)
     q = (here @ (net["Q"] * np.float32(WIDTH**-0.5))).reshape(n, HOP, WIDTH)
-    k, v = (flat @ net["K"]).reshape(n, 2 * HOP, WIDTH), (flat @ net["V"]).reshape(n, 2 * HOP, WIDTH)
+    kv = (h.reshape(-1, WIDTH) @ np.concatenate([net["K"], net["V"]], axis=1)).reshape(n, 2 * HOP, 2 * WIDTH)
+    s, total, a = _attended(q, kv, ok[:, :HOP])
+    z, y = _classes(net, here, a)
+    return z, (h, here, q, kv, s, total, a, y)
+
+
+def _hops(net, x, begins):
+    """The same logits of hops of HOP places, each looked at after the one before it but where a text begins: so a place is looked up,
+    and multiplied, once for both windows that have it. x: subword ids of a hop before the first, and of the hops."""
+    n, scaled = len(x) - 1, net["Q"] * np.float32(WIDTH**-0.5)
+    e, to = net["E"].take(x, axis=0), np.concatenate([net["K"], net["V"], scaled], axis=1)
+    each, place = (e.reshape(-1, WIDTH) @ to).reshape(n + 1, HOP, 3 * WIDTH), net["P"] @ to
+    kv, w = np.empty((n, 2 * HOP, 2 * WIDTH), dtype=np.float32), 2 * WIDTH
+    np.add(each[:-1, :, :w], place[:HOP, :w], out=kv[:, :HOP])
+    np.add(each[1:, :, :w], place[HOP:, :w], out=kv[:, HOP:])
+    _, _, a = _attended(each[1:, :, w:] + place[HOP:, w:], kv, np.broadcast_to(~begins[:, None], (n, HOP)))
+    return _classes(net, (e[1:] + net["P"][HOP:]).reshape(-1, WIDTH), a)[0]
+
+
+def _classes(net, here, a):
+    y = here + a.reshape(-1, WIDTH) @ net["O"]
+    z = net["W"].T @ y.T
+    z += net["b"][:, None]
+    return z, y
+
+
+def _attended(q, kv, before):
+    """Attention, with a row for each place that is looked at: so its sums go by whole rows. (weights before they are divided by
+    their sum, that sum, the means of values). before: which places of the first HOP are inside the text."""
+    k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
     s = k @ np.ascontiguousarray(q.transpose(0, 2, 1))
-    s += BEFORE
     # what is after a text's end is after all its places, too; what is before its beginning is not
-    early = np.flatnonzero(~ok[:, :HOP].all(1))
-    s[early, :HOP] += np.where(ok[early, :HOP], np.float32(0), np.float32(-1e9))[:, :, None]
-    most = s
-    while half := most.shape[1] // 2:  # 2 * HOP is a power of 2; numpy's own maximum over short rows takes longer
-        most = np.maximum(most[:, :half], most[:, half:])
-    s -= most
+    early = np.flatnonzero(~before.all(1))
+    if max(s.max(), -s.min()) > SAFE:
+        seen = np.broadcast_to(BEFORE, s.shape).copy()
+        seen[early, :HOP] *= before[early, :, None]
+        s -= np.where(seen > 0, s, -np.inf).max(1, keepdims=True)
+        np.minimum(s, 0, out=s)  # of places that are not looked at
     np.exp(s, out=s)
-    s /= np.ones((1, 2 * HOP), dtype=np.float32) @ s
+    s[:, HOP:] *= BEFORE[:, HOP:]
+    s[early, :HOP] *= before[early, :, None]
+    total = (np.ones((1, 2 * HOP), dtype=np.float32) @ s).reshape(-1, HOP, 1)
     a = s.transpose(0, 2, 1) @ v
-    y = here + a.reshape(-1, WIDTH) @ net["O"]
-    z = net["W"].T @ y.T
-    z += net["b"][:, None]
-    return z, (h, q, k, v, s, a, y)
+    a /= total
+    return s, total, a
 
 
-#: What a place may not look at: those after it.
-BEFORE = np.where(np.arange(2 * HOP)[None, :, None] <= np.arange(HOP, 2 * HOP)[None, None, :], np.float32(0), np.float32(-1e9))
+#: 1 for what a place may look at: not those after it. Up to SAFE, exponentials need no maximum taken off.
+BEFORE, SAFE = (np.arange(2 * HOP)[None, :, None] <= np.arange(HOP, 2 * HOP)[None, None, :]).astype(np.float32), 60
 
 
 def _fresh(n_sub: int, log_share: np.ndarray) -> dict[str, np.ndarray]:
@@ -332,47 +372,63 @@ class Adam:
 
     def step(self, x, ok, y, rate: float) -> None:
         net, m, r = self.net, self.m, self.r
-        n = len(x)
-        d, (h, q, k, v, s, a, out) = _logits(net, x, ok)
+        g, dh = self._gradients(x, ok, y)
+        flat = x.ravel()
+        order = np.argsort(flat.astype(np.uint16) if len(net["E"]) <= 1 << 16 else flat, kind="stable")
+        ids = flat[order]
+        new = np.concatenate([[True], ids[1:] != ids[:-1]])
+        ids, rank = ids[new], np.empty(len(flat), dtype=np.int64)
+        rank[order] = (np.cumsum(new) - 1) * WIDTH
+        ge = np.bincount((rank[:, None] + np.arange(WIDTH)).ravel(), weights=dh.ravel(), minlength=len(ids) * WIDTH)
+        ge = ge.astype(np.float32).reshape(-1, WIDTH)
+        self.steps += 1
+        rate *= min(1, self.steps / 20)
+        for p in net:
+            gn, mp, rp = (ge, m[p].take(ids, axis=0), r[p].take(ids, axis=0)) if p == "E" else (g[p], m[p], r[p])
+            mp *= 0.9
+            mp += 0.1 * gn
+            rp *= 0.99
+            rp += 0.01 * gn * gn
+            by = np.float32(rate) * mp / (np.sqrt(rp) + 1e-7)
+            if p == "E":
+                m[p][ids], r[p][ids] = mp, rp
+                net[p][ids] = net[p].take(ids, axis=0) - by
+            else:
+                net[p] -= by
+
+    def _gradients(self, x, ok, y) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Those of all weights but E, and of the inputs."""
+        net, n = self.net, len(x)
+        d, (h, last, q, kv, s, total, a, out) = _logits(net, x, ok)
         d -= d.max(0)
         np.exp(d, out=d)
-        d /= d.sum(0)
         flat = y.ravel()
         here = np.flatnonzero(flat >= 0)
-        d[flat[here], here] -= 1
+        each = ((flat >= 0) / np.float32(max(1, len(here)))).astype(np.float32)  # what a place counts
+        d *= each / d.sum(0)
+        d[flat[here], here] -= each[here]
         if self.unseen:
             rare = np.flatnonzero(flat == RARE)
-            d[RARE, rare] += self.unseen
-            d[UNSEEN, rare] -= self.unseen
-        d *= ((flat >= 0) / np.float32(max(1, len(here)))).astype(np.float32)
-        g = {"W": out.T @ d.T, "b": d.sum(1)}
+            d[RARE, rare] += each[rare] * np.float32(self.unseen)
+            d[UNSEEN, rare] -= each[rare] * np.float32(self.unseen)
         dy = d.T @ net["W"].T
-        g["O"] = a.reshape(-1, WIDTH).T @ dy
         da = (dy @ net["O"].T).reshape(n, HOP, WIDTH)
-        dv = s @ da
-        ds = v @ np.ascontiguousarray(da.transpose(0, 2, 1))
+        da /= total
+        dkv = np.empty_like(kv)
+        np.matmul(s, da, out=dkv[:, :, WIDTH:])
+        ds = kv[:, :, WIDTH:] @ np.ascontiguousarray(da.transpose(0, 2, 1))
         ds -= np.einsum("ijk,ijk->ij", da, a)[:, None, :]
         ds *= s
         # q is scaled already
-        dk = (ds @ q).reshape(-1, WIDTH)
-        dq = (ds.transpose(0, 2, 1) @ k).reshape(-1, WIDTH) * np.float32(WIDTH**-0.5)
-        dv, all_, last = dv.reshape(-1, WIDTH), h.reshape(-1, WIDTH), np.ascontiguousarray(h[:, HOP:]).reshape(-1, WIDTH)
-        g["Q"], g["K"], g["V"] = last.T @ dq, all_.T @ dk, all_.T @ dv
-        dh = (dk @ net["K"].T + dv @ net["V"].T).reshape(n, 2 * HOP, WIDTH)
+        np.matmul(ds, q, out=dkv[:, :, :WIDTH])
+        dq = (ds.transpose(0, 2, 1) @ kv[:, :, :WIDTH]).reshape(-1, WIDTH) * np.float32(WIDTH**-0.5)
+        dkv = dkv.reshape(-1, 2 * WIDTH)
+        dh = (dkv @ np.concatenate([net["K"], net["V"]], axis=1).T).reshape(n, 2 * HOP, WIDTH)
+        g = {"O": a.reshape(-1, WIDTH).T @ dy, "W": (d @ out).T, "b": d.sum(1), "Q": last.T @ dq}
+        both = (h.transpose(0, 2, 1) @ dkv.reshape(n, 2 * HOP, 2 * WIDTH)).sum(0)
+        g["K"], g["V"] = both[:, :WIDTH], both[:, WIDTH:]
         dh[:, HOP:] += (dy + dq @ net["Q"].T).reshape(n, HOP, WIDTH)
-        g["P"] = dh.sum(0)
-        order = np.argsort(x.astype(np.uint16) if len(net["E"]) <= 1 << 16 else x, axis=None, kind="stable")
-        ids = x.ravel()[order]
-        starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        ids, ge = ids[starts], np.add.reduceat(dh.reshape(-1, WIDTH)[order], starts, axis=0)
-        self.steps += 1
-        rate *= min(1, self.steps / 20)
-        for p in net:
-            at = ids if p == "E" else slice(None)
-            gn = ge if p == "E" else g[p].astype(np.float32)
-            mp, rp = 0.9 * m[p][at] + 0.1 * gn, 0.99 * r[p][at] + 0.01 * gn * gn
-            m[p][at], r[p][at] = mp, rp
-            net[p][at] -= np.float32(rate) * mp / (np.sqrt(rp) + 1e-7)
+        return g | {"P": dh.sum(0)}, dh
 
 
 def _train(xs: np.ndarray, oks: np.ndarray, ys: np.ndarray, n_sub: int, n_out: int) -> dict[str, np.ndarray]:
@@ -566,13 +622,13 @@ def scored(rows: DataFrame, model: Model) -> DataFrame:
             x, y, where, first, size, wd, ws = _joined(np.frombuffer(sub.as_buffer(), dtype="<i4")[at], cls[at], np.diff(bounds))
             own, unseen = np.zeros(len(x)), np.zeros(len(x))
             if m.net:
-                for k in range(0, len(wd), 64):
-                    d, s = wd[k : k + 64], ws[k : k + 64]
-                    i = s[:, None] + np.arange(2 * HOP)[None, :]
-                    ok = (i >= 0) & (i < size[d][:, None])
-                    i = np.where(ok, i, 0) + first[d][:, None]
-                    z, _ = _logits(m.net, x[i], ok)
-                    here, i = np.flatnonzero(ok[:, HOP:]), i[:, HOP:].ravel()
+                for k in range(0, len(wd), BATCH):
+                    d, begins = wd[max(0, k - 1) : k + BATCH], ws[k : k + BATCH] < 0
+                    i = ws[max(0, k - 1) : k + BATCH, None] + np.arange(HOP, 2 * HOP)
+                    ok = i < size[d][:, None]
+                    i = np.minimum(i + first[d][:, None], len(x) - 1)  # what is after a text's end is after all its places
+                    z = _hops(m.net, x[i if k else np.concatenate([i[:1], i])], begins)
+                    i, here = i[-len(begins) :].ravel(), np.flatnonzero(ok[-len(begins) :])
                     z -= z.max(0)
                     it, new = z[y[i], np.arange(len(i))], z[UNSEEN].copy()
                     total = np.log(np.exp(z, out=z).sum(0))
