@@ -33,3 +33,19 @@ def test_same_rows(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_last_row_wins_over_many_tasks(spark, tmp_path):
+    """A table of four parts, each key twice in the batch: no task writes more than a part."""
+    orders = spark.read.parquet(f"{D}/orders.parquet")
+    orders.repartition(4).write.parquet(f"{tmp_path}/orders.parquet")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4k")
+    try:
+        df = core.QUERIES["store_last_row_wins"](spark, str(tmp_path))
+        assert {(r.o_orderkey, r.o_totalprice) for r in df.collect()} == {(r.o_orderkey, r.o_totalprice + 1) for r in orders.collect()}
+        run = df.inputFiles()
+        assert len(run) == 8 and max(spark.read.parquet(f).count() for f in run) < orders.count() / 3
+    finally:
+        spark.conf.set(key, before)
